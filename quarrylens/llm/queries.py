@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import cooccur, terms
+from quarrylens.llm import bpe, cooccur, mixture, repetition, terms
 from quarrylens.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: terms.found(table(s, d, "commits"), table(s, d, "file_extracts")),
         "p4_found": lambda s, d: cooccur.found(table(s, d, "commits")),
+        "p8_ids": lambda s, d: bpe.encode(table(s, d, "documents")),
+        "p9_mixture": lambda s, d: mixture.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p9_shares": lambda s, d: mixture.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p10_found": lambda s, d: repetition.found(table(s, d, "documents")),
     }
 
 
