@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import bpe, cooccur, mixture, pairs, provenance, repetition, terms
+from quarrylens.llm import bpe, cooccur, language, mixture, pairs, provenance, repetition, terms
 from quarrylens.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: terms.found(table(s, d, "commits"), table(s, d, "file_extracts")),
+        "p3_found": lambda s, d: language.found(table(s, d, "sections")),
         "p4_found": lambda s, d: cooccur.found(table(s, d, "commits")),
         "p5_found": lambda s, d: provenance.found(table(s, d, "discovered"), table(s, d, "files")),
         "p7_found": lambda s, d: pairs.found(table(s, d, "nodes"), table(s, d, "why_answers"), table(s, d, "discovered")),
