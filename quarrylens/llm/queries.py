@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import bpe, cooccur, language, mixture, pairs, provenance, repetition, terms
+from quarrylens.llm import bpe, cooccur, language, mixture, pairs, parsing, provenance, repetition, terms
 from quarrylens.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,8 @@ def queries() -> dict[str, Query]:
         "p3_found": lambda s, d: language.found(table(s, d, "sections")),
         "p4_found": lambda s, d: cooccur.found(table(s, d, "commits")),
         "p5_found": lambda s, d: provenance.found(table(s, d, "discovered"), table(s, d, "files")),
+        "p6_found": lambda s, d: parsing.found(table(s, d, "discovered")),
+        "p6_rates": lambda s, d: parsing.parse_rates(table(s, d, "discovered"), table(s, d, "index_reports")),
         "p7_found": lambda s, d: pairs.found(table(s, d, "nodes"), table(s, d, "why_answers"), table(s, d, "discovered")),
         "p8_ids": lambda s, d: bpe.encode(table(s, d, "documents")),
         "p9_mixture": lambda s, d: mixture.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
