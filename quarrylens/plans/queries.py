@@ -35,7 +35,7 @@ def bm25_coverage_rank(s: SparkSession, d: str) -> DataFrame:
 
 def file_aggregate_top3(s: SparkSession, d: str) -> DataFrame:
     rows = _bm25(s, d, None).join(pick(table(s, d, "documents"), "doc_id", "source"), "doc_id")
-    return ranking.file_scores(rows.select("source", "doc_id", F.round("score", 2).cast("decimal(10,2)").alias("score")), "source", "doc_id").select("source", F.col("score").cast("double").alias("score"))
+    return ranking.file_scores(rows.select("source", "doc_id", "score"), "source", "doc_id")
 
 
 def offer_cutoff(s: SparkSession, d: str) -> DataFrame:
