@@ -285,7 +285,6 @@ def language_segments(sections: DataFrame, fit_rows: int = FIT_ROWS) -> DataFram
 
 def found(sections: DataFrame) -> DataFrame:
     """(section_id, lang): the languages of sections whose label is missing or wrong, or that hold several."""
-    held = language_segments(sections).groupBy("section_id", "lang").agg(F.max("label").alias("label"))
-    whole = held.groupBy("section_id").agg(F.count(F.lit(1)).alias("n"), F.min("lang").alias("first"), F.max("label").alias("label"))
-    cases = whole.where("n > 1 or label is null or label <> first").select("section_id")
-    return held.join(cases, "section_id", "left_semi").select("section_id", "lang")
+    held = language_segments(sections).groupBy("section_id").agg(F.collect_set("lang").alias("langs"), F.max("label").alias("label"))
+    cases = held.where((F.size("langs") > 1) | F.col("label").isNull() | ~F.array_contains("langs", F.col("label")))
+    return cases.select("section_id", F.explode("langs").alias("lang"))
