@@ -123,7 +123,7 @@ arrowbody: assignment ![ '{' ] | '{' stmt* '}'
 conditional: binary ('?' assignment ':' assignment)?
 binary: unary (binop unary | t_cast)*
 binop: '||' | '&&' | '??' | '|' | '^' | '&' | '==' | '!=' | '===' | '!==' | '<' | '>' | '<=' | '>=' | 'instanceof' | 'in' | '<<' | '>' '>' | '>' '>' '>' | '+' | '-' | '*' | '/' | '%' | '**'
-unary: ('!' | '~' | '+' | '-' | 'typeof' | 'void' | 'delete' | 'await' | '++' | '--') unary | t_angle unary | leftside ('++' | '--')?
+unary: ('!' | '~' | '+' | '-' | 'typeof' | 'void' | 'delete' | 'await' | '++' | '--' | PLUSPLUS) unary | t_angle unary | leftside ('++' | '--')?
 leftside: primary | leftside '.' (anyname | PRIVATE) | leftside '[' expr ']' | leftside t_args arguments | leftside template | leftside t_nonnull
     | leftside '?.' (anyname | PRIVATE | '[' expr ']' | arguments) | 'new' leftside | 'new' '.' 'target' | 'import' arguments | 'import' '.' 'meta'
 arguments: '(' (argument (',' argument)* ','?)? ')'
@@ -476,7 +476,7 @@ literal: '-'? NUMBER | STRING | CHAR | 'true' | 'false' | exprpath
 fieldpat: attr* (IDENT | NUMBER) ':' pattern | attr* 'ref'? 'mut'? IDENT | attr* '..'
 delimited: '(' tokens ')' | '[' tokens ']' | '{' tokens '}'
 tokens: tree*
-tree: anytoken | delimited
+tree: anytoken | delimited | '$' | '~' | '\\'
 """
 
 PHP_RESERVED = """abstract and array as break callable case catch class clone const continue declare default do echo else elseif empty enddeclare endfor endforeach endif endswitch endwhile extends final

@@ -218,6 +218,8 @@ class ScriptLexer(Lexer):
                 continue
             if braces and value in "{}" and kind == "sign":
                 braces[-1] += 1 if value == "{" else -1
+            if fresh and value in ("++", "--") and out:
+                kind = "PLUSPLUS"  # after a line end it belongs to what follows
             out.append((self.word(value) if kind == "word" else (value,) if kind == "sign" else (kind,), fresh, at))
             at, fresh = m.end(), False
         return out
@@ -225,8 +227,12 @@ class ScriptLexer(Lexer):
 
 class PythonLexer(Lexer):
     blank = r"[ \t\f]+|\\\r?\n|\#[^\n]*"
+    define = (
+        r"(?(DEFINE)(?P<quoted>\"\"\"(?s:(?:[^\\]|\\.)*?)\"\"\"|'''(?s:(?:[^\\]|\\.)*?)'''|\"(?:[^\"\\\n{]|\\.|\{\{|(?&hole)|\{)*\"|'(?:[^'\\\n{]|\\.|\{\{|(?&hole)|\{)*')"
+        r"(?P<hole>\{(?:[^{}\"']|(?&quoted)|(?&hole))+\}))"
+    )
     classes = {
-        "STRING": r"(?i:[rbuft]|br|rb|fr|rf|tr|rt)?(?:\"\"\"(?s:(?:[^\\]|\\.)*?)\"\"\"|'''(?s:(?:[^\\]|\\.)*?)'''|\"(?!\"\")(?:[^\"\\\n]|\\(?s:.))*\"|'(?!'')(?:[^'\\\n]|\\(?s:.))*')",
+        "STRING": r"(?i:rf|fr|f|rt|tr|t)(?:\"(?!\"\")(?:[^\"\\\n{]|\\(?s:.)|\{\{|(?&hole))*\"|'(?!'')(?:[^'\\\n{]|\\(?s:.)|\{\{|(?&hole))*')|(?i:[rbuft]|br|rb|fr|rf|tr|rt)?(?:\"\"\"(?s:(?:[^\\]|\\.)*?)\"\"\"|'''(?s:(?:[^\\]|\\.)*?)'''|\"(?!\"\")(?:[^\"\\\n]|\\(?s:.))*\"|'(?!'')(?:[^'\\\n]|\\(?s:.))*')",
         "NUMBER": r"(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?|\d(?:_?\d)*\.(?:[eE][+-]?\d(?:_?\d)*)?|(?:[1-9](?:_?\d)*|0(?:_?0)*)(?:[eE][+-]?\d(?:_?\d)*)?|\d(?:_?\d)*[eE][+-]?\d(?:_?\d)*)[jJ]?(?!\w)",
         "LINE": r"\n",
     }
