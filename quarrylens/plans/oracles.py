@@ -207,7 +207,7 @@ ORACLES = {
     "preflight_risk": f"""WITH {_EDGES}, d AS (SELECT a.path, count(DISTINCT b.path) AS dependants FROM calls JOIN n a ON a.uid = dst JOIN n b ON b.uid = src WHERE a.path <> b.path GROUP BY 1)
         SELECT path, dependants, CASE WHEN dependants >= 10 THEN 'HIGH' WHEN dependants >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM d""",
     "canonical_dump": f"""WITH {_NODES} SELECT concat_ws(chr(9), 'N', uid, kind, coalesce(name, ''), coalesce(path, ''), coalesce(CAST(line_start AS VARCHAR), ''), coalesce(CAST(line_end AS VARCHAR), ''), coalesce(lang, ''), coalesce(top_status, ''), printf('%.4f', top)) AS line FROM n JOIN st USING (uid)""",
-    "co_change": f"WITH {_CO} SELECT repo, path_a, path_b, support, round(least(0.4 + 0.05 * support, 0.85), 4) AS confidence FROM pairs ORDER BY support DESC, repo, path_a, path_b LIMIT 20000",
+    "co_change": f"WITH {_CO} SELECT repo, path_a, path_b, support, CAST(round(least(0.4 + 0.05 * support, 0.85), 4) AS DOUBLE) AS confidence FROM pairs ORDER BY support DESC, repo, path_a, path_b LIMIT 20000",
     "term_prior": f"""WITH {_COMMITS}, e AS (SELECT unnest({_meaningful('subject')}[1:12]) AS term, files FROM c WHERE subject IS NOT NULL),
         x AS (SELECT term, unnest(files) AS path FROM e), p AS (SELECT term, path, count(*) AS n FROM x GROUP BY 1, 2),
         s AS (SELECT term, path, n, ln(CAST(n AS DOUBLE) * sum(n) OVER () / (sum(n) OVER (PARTITION BY term) * sum(n) OVER (PARTITION BY path))) AS pmi FROM p),
