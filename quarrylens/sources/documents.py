@@ -26,7 +26,7 @@ def html_to_markdown(html: Column) -> Column:
     t = F.regexp_replace(t, r"<[^>]+>", "")
     for entity, sign in ENTITIES.items():
         t = F.replace(t, F.lit(entity), F.lit(sign))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def _local(tag: str) -> str:
