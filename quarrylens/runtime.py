@@ -36,6 +36,12 @@ def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     return flat.select(*[F.col(f"__c{i}").alias(out) for out, i in position.items()])
 
 
+def parallel(scan: DataFrame) -> DataFrame:
+    """A scan whose rows cost much CPU, spread over all cores where its files make fewer partitions than that."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
