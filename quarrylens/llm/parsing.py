@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.llm.syntax.check import first_error
 from quarrylens.operators.incremental import normal_path
-from quarrylens.runtime import pick
+from quarrylens.runtime import parallel, pick
 
 
 def parse_files(discovered: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def parse_files(discovered: DataFrame) -> DataFrame:
     Null and empty contents, files of comments only and languages without a grammar are
     valid. Repeated rows come out repeated.
     """
-    rows = pick(discovered, "file_id", "repo", "path", "lang", "content")
+    rows = parallel(pick(discovered, "file_id", "repo", "path", "lang", "content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
