@@ -126,21 +126,34 @@ def _spelled(text: str) -> str:
     return text.replace("ä", "ae").replace("ö", "oe").replace("ü", "ue").replace("ß", "ss")
 
 
+def word_grams(word: str) -> Counter:
+    """Letter runs of one to four of a word in lower case, and the word itself."""
+    found: Counter = Counter()
+    if _UNSPACED.search(word):
+        padded = word
+    else:
+        padded = f" {word} "
+        found[padded] += 2
+    for n in (1, 2, 3, 4):
+        for i in range(len(padded) - n + 1):
+            found[padded[i : i + n]] += 1
+    return found
+
+
 def grams(sentence: str) -> Counter:
-    """Letter runs of one to four within its words, and the words, in lower case."""
+    """The runs of all words of a sentence."""
     found: Counter = Counter()
     for w in _WORD.findall(sentence.lower()):
-        if _UNSPACED.search(w):
-            padded = w
-        else:
-            padded = f" {w} "
-            found[padded] += 2
-        for n in (1, 2, 3, 4):
-            for i in range(len(padded) - n + 1):
-                found[padded[i : i + n]] += 1
+        found.update(word_grams(w))
     return found
 
 
+#: Words whose part in the margins a worker remembers; beyond it the memory is emptied, results do not change.
+REMEMBERED = 200_000
+#: Weight of all runs of a sentence together.
+SENTENCE_WEIGHT = 12.0
+
+
 class OutputCodeModel:
     """A logistic n-gram classifier for each bit of the codewords, all fitted together."""
 
@@ -148,22 +161,19 @@ class OutputCodeModel:
         self.languages, self.code = languages, codewords(languages)
         self.index: dict[str, int] = {}
         self.weights = np.zeros((0, self.code.shape[1]), np.float32)
+        self._parts: dict[str, tuple[np.ndarray, int]] = {}
 
-    def _features(self, found: dict[str, int], grow: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        index = self.index
-        if grow:
-            pairs = [(index.setdefault(g, len(index)), n) for g, n in found.items()]
-        else:
-            pairs = [(index[g], n) for g, n in found.items() if g in index]
-        if not pairs:
+    def _features(self, found: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the runs, which are added to the index, and their shares of the sentence's weight."""
+        if not found:
             return np.zeros(0, int), np.zeros(0, np.float32)
-        at, n = zip(*pairs)
-        value = np.sqrt(np.array(n, np.float32))
-        return np.array(at), value / np.sqrt((value * value).sum())
+        at, n = zip(*[(self.index.setdefault(g, len(self.index)), n) for g, n in found.items()])
+        value = np.array(n, np.float32)
+        return np.array(at), value * (SENTENCE_WEIGHT / value.sum())
 
     def learn(self, samples: list[tuple[str, dict[str, int]]], epochs: int = 4, rate: float = 1.0, seed: int = 5) -> OutputCodeModel:
         """Stochastic gradient with one step size for each n-gram that shrinks as it is used."""
-        rows = [(self.code[self.languages.index(g)], *self._features(found, grow=True)) for g, found in samples]
+        rows = [(self.code[self.languages.index(g)], *self._features(found)) for g, found in samples]
         self.weights = np.zeros((len(self.index), self.code.shape[1]), np.float32)
         used = np.full(len(self.index), 1e-3, np.float32)
         rng = np.random.default_rng(seed)
@@ -176,10 +186,26 @@ class OutputCodeModel:
                 self.weights[at] += (rate * value / np.sqrt(used[at]))[:, None] * push[None, :]
         return self
 
-    def decode(self, found: dict[str, int]) -> tuple[str, float, bool]:
+    def _part(self, word: str) -> tuple[np.ndarray, int]:
+        """What a word adds to the margins, and its number of runs the model knows."""
+        part = self._parts.get(word)
+        if part is None:
+            known = [(self.index[g], n) for g, n in word_grams(word).items() if g in self.index]
+            if known:
+                at, n = map(np.array, zip(*known))
+                part = (n @ self.weights[at].astype(float), int(n.sum()))
+            else:
+                part = (np.zeros(self.code.shape[1]), 0)
+            if len(self._parts) >= REMEMBERED:
+                self._parts.clear()
+            self._parts[word] = part
+        return part
+
+    def decode(self, sentence: str) -> tuple[str, float, bool]:
         """(language, confidence, ambiguous): the codeword of least logistic loss over all bits."""
-        at, value = self._features(found)
-        margin = value @ self.weights[at] if len(at) else np.zeros(self.code.shape[1])
+        parts = [self._part(w) for w in _WORD.findall(sentence.lower())]
+        total = sum(n for _, n in parts)
+        margin = np.sum([m for m, _ in parts], axis=0) * (SENTENCE_WEIGHT / total) if total else np.zeros(self.code.shape[1])
         loss = np.logaddexp(0, -self.code * margin).sum(1)
         p = np.exp(loss.min() - loss)
         p /= p.sum()
@@ -239,7 +265,7 @@ def segments_of(model: OutputCodeModel, body: str | None) -> list[tuple[str, str
         if not is_full(s):
             (found[-1][0] if found else waiting).append(s)
             continue
-        language, confidence, ambiguous = model.decode(grams(s))
+        language, confidence, ambiguous = model.decode(s)
         if found and found[-1][1] == language:
             found[-1][0].append(s)
             found[-1][2].append((confidence, ambiguous))
