@@ -154,3 +154,15 @@ def fit_weights(start: dict[str, float], grid: dict[str, list[float]], value, sw
                 if (v := value(tried)) > best_value:
                     best, best_value = tried, v
     return best, best_value
+
+
+def offered_order(reading: DataFrame, files: DataFrame) -> DataFrame:
+    """(task, path, place, tokens): files of the reading plan in its order with their tokens, then the other code files for nothing.
+
+    reading: task, path, ord, tokens. files: task, path, rank.
+    """
+    read = reading.groupBy("task", "path").agg(F.min("ord").alias("o"), F.sum("tokens").alias("tokens")).withColumn("group", F.lit(0))
+    code = files.where(T.file_language("path").isin(T.lex.CODE_LANGUAGES)).join(read.select("task", "path"), ["task", "path"], "left_anti")
+    rest = code.select("task", "path", F.col("rank").alias("o"), F.lit(0).cast("long").alias("tokens"), F.lit(1).alias("group"))
+    place = F.row_number().over(Window.partitionBy("task").orderBy("group", "o", "path"))
+    return read.unionByName(rest).select("task", "path", place.alias("place"), "tokens")

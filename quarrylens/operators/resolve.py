@@ -69,3 +69,8 @@ def module_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     known = files.select(F.regexp_replace("path", r"\.[^./]*$", "").alias("stem"), F.col("path").alias("target")).distinct()
     hit = asked.join(known, "stem").where("target <> path")
     return hit.groupBy("path", "module").agg(F.min(F.struct("place", "target")).alias("m")).select("path", F.col("m.target").alias("target"), "module")
+
+
+def known_references(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """References whose source is a node, each once."""
+    return refs.join(nodes.select(F.col("uid").alias("from_uid")), "from_uid", "left_semi").distinct()

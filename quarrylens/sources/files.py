@@ -82,3 +82,11 @@ def changed_files(current: DataFrame, stored: DataFrame) -> DataFrame:
     live = current.select("path", "hash").join(old, "path", "left").where(~F.col("hash").eqNullSafe(F.col("old_hash")))
     gone = old.join(current.select("path"), "path", "left_anti").select("path", F.lit("gone").alias("change"))
     return live.select("path", F.when(F.col("old_hash").isNull(), "new").otherwise("changed").alias("change")).unionByName(gone)
+
+
+def read_one(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """The row ``walk`` gives for a single file, without listing the others."""
+    raw = spark.read.format("binaryFile").load(os.path.join(root, path))
+    rows = raw.select(F.lit(path).alias("path"), F.col("length").alias("bytes"), F.unix_micros("modificationTime").alias("mtime"), "content")
+    text = F.when(F.is_valid_utf8("content"), F.decode("content", "utf-8"))
+    return rows.select("path", T.file_language("path").alias("lang"), F.sha2("content", 256).alias("hash"), "bytes", "mtime", text.alias("text"), skip_reason(F.col("path"), F.col("bytes"), F.col("content"), ignore_rules(root)).alias("skipped"))

@@ -87,3 +87,51 @@ def toon(rows: DataFrame, section: str, most: int = 220) -> str:
     cell = lambda v: re.sub(r"\s+", " ", "" if v is None else str(v)).replace("|", "/")[:most]
     found = rows.collect()
     return "\n".join([f"{section}[{len(found)}]{{{','.join(rows.columns)}}}:", *("  " + "|".join(cell(v) for v in r) for r in found)])
+
+
+def bodies(root: str, most: int = 20_000, size: int = 600) -> dict[str, str]:
+    """Message bodies of the newest commits by sha, up to ``size`` characters; commits without one are left out."""
+    run = subprocess.run(["git", "-C", root, "log", f"-n{most}", "--no-merges", "-z", "--format=%H%x01%b"], capture_output=True, check=True, timeout=60)
+    pairs = (part.split("\x01", 1) for part in run.stdout.decode("utf-8", "replace").split("\x00") if "\x01" in part)
+    return {sha.strip(): body.strip()[:size] for sha, body in pairs if body.strip()}
+
+
+def line_history(root: str, path: str, start: int, end: int, seconds: float = 1.5) -> list[tuple[str, str]]:
+    """(sha, subject) of the commits that touched a range of lines, newest first; none if it takes longer than ``seconds``."""
+    command = ["git", "-C", root, "log", f"-L{start},{end}:{path}", "--no-patch", "--format=%H%x00%s"]
+    try:
+        run = subprocess.run(command, capture_output=True, timeout=seconds)
+    except subprocess.TimeoutExpired:
+        return []
+    lines = run.stdout.decode("utf-8", "replace").splitlines() if run.returncode == 0 else []
+    return [tuple(x.split("\x00", 1)) for x in lines if "\x00" in x]
+
+
+# Three-letter codes of languages by their two-letter codes.
+ISO3 = dict(
+    pair.split(":")
+    for pair in (
+        "af:afr ar:ara bg:bul bn:ben bs:bos ca:cat cs:ces cy:cym da:dan de:deu el:ell en:eng eo:epo es:spa et:est eu:eus fa:fas fi:fin fr:fra ga:gle gl:glg gu:guj he:heb hi:hin hr:hrv hu:hun hy:hye id:ind is:isl "
+        "it:ita ja:jpn ka:kat kk:kaz km:khm kn:kan ko:kor lo:lao lt:lit lv:lav mk:mkd ml:mal mn:mon mr:mar ms:msa my:mya nb:nob ne:nep nl:nld no:nor pa:pan pl:pol pt:por ro:ron ru:rus si:sin sk:slk sl:slv sq:sqi "
+        "sr:srp sv:swe sw:swa ta:tam te:tel th:tha tl:tgl tr:tur uk:ukr ur:urd uz:uzb vi:vie zh:zho"
+    ).split()
+)
+
+
+def bundle_locale(path: Column) -> Column:
+    """struct(base, lang) of a bundle or translation file: ``messages_de.properties``, ``i18n/vi.csv``; lang is null for the source."""
+    stem = F.regexp_replace(path, r"\.[^./]*$", "")
+    name = F.substring_index(stem, "/", -1)
+    suffix = F.regexp_extract(stem, r"[_\-.]([a-z]{2})(?:[_\-][A-Za-z]{2,4})?$", 1)
+    whole = F.regexp_extract(name, r"^([a-z]{2})(?:[_\-][A-Za-z]{2,4})?$", 1)
+    code = F.when(whole != "", whole).otherwise(suffix)
+    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in ISO3.items() for x in pair]), code)
+    base = F.when(known.isNull(), stem).when(whole != "", F.regexp_replace(stem, r"/?[^/]*$", "")).otherwise(F.regexp_replace(stem, r"[_\-.][a-z]{2}(?:[_\-][A-Za-z]{2,4})?$", ""))
+    return F.struct(base.alias("base"), known.alias("lang"))
+
+
+def markdown_table(rows: DataFrame, title: str) -> str:
+    """A bounded result as a titled table."""
+    cell = lambda v: "–" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
+    body = [f"| {' | '.join(cell(v) for v in r)} |" for r in rows.collect()]
+    return "\n".join([f"## {title}", "", f"| {' | '.join(rows.columns)} |", f"|{'---|' * len(rows.columns)}", *body, ""])

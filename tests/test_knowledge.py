@@ -192,4 +192,7 @@ def test_evaluation_arithmetic(spark):
     assert {(r.repo, r.tasks, r.hit_rate) for r in table} == {("r", 1, 1.0), ("q", 1, 0.0), ("ALL", 2, 0.5)}
     grades = spark.createDataFrame([("A", 1, True), ("B", 1, False), ("A", 2, True)], "arm string, instance int, resolved boolean")
     assert [tuple(r) for r in evaluate.common_grades(grades, "A", "B").collect()] == [("only_first", 1)]
+    reading = spark.createDataFrame([("t", "b.py", 1, 10), ("t", "a.py", 0, 5), ("t", "b.py", 2, 7)], "task string, path string, ord int, tokens long")
+    files = spark.createDataFrame([("t", "c.py", 1), ("t", "a.py", 2), ("t", "d.md", 3)], "task string, path string, rank int")
+    assert [(r.path, r.place, r.tokens) for r in evaluate.offered_order(reading, files).orderBy("place").collect()] == [("a.py", 1, 5), ("b.py", 2, 17), ("c.py", 3, 0)]
     assert set(lex.SPREAD_KINDS) <= set(lex.EDGE_WEIGHTS)

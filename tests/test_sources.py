@@ -69,6 +69,14 @@ def test_log_and_small_formats(spark, tmp_path):
     run("add", "."), run("commit", "-qm", "feat: first")
     row = records.git_log(spark, str(repo)).first()
     assert (row.subject, row.files, row.sha) == ("feat: first", ["x.py"], records.head_sha(str(repo)))
+    run("commit", "--allow-empty", "-qm", "second\n\nThe body of it.")
+    assert list(records.bodies(str(repo)).values()) == ["The body of it."]
+    assert [x[1] for x in records.line_history(str(repo), "x.py", 1, 1, 10)] == ["feat: first"] and records.line_history(str(repo), "none.py", 1, 1) == []
+    assert files.read_one(spark, str(repo), "x.py").first().text == "1"
+    paths = spark.createDataFrame([("a/messages_de.properties",), ("i18n/vi.csv",), ("a/messages.properties",), ("a/order_zz.properties",), ("x/labels-pt-BR.json",)], "p string")
+    got = {tuple(r.b) for r in paths.select(records.bundle_locale(F.col("p")).alias("b")).collect()}
+    assert got == {("a/messages", "deu"), ("i18n", "vie"), ("a/messages", None), ("a/order_zz", None), ("x/labels", "por")}
+    assert records.markdown_table(spark.createDataFrame([("a", 0.5, None)], "x string, y double, z int"), "T").splitlines()[-1] == "| a | 0.5 | – |"
     assert records.translations('Order,Auftrag\nSame,Same\nctx,"A, b",C\n,x\n') == [("Order", "Auftrag"), ("A, b", "C")]
     text = "# c\n! d\nkey = one \\\n   two\nb:x\nempty=\nnone\n"
     got = spark.createDataFrame([(text,)], "t string").select(records.properties(F.col("t")).alias("p")).first().p
