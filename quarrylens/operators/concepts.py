@@ -23,14 +23,16 @@ def grounding_index(nodes: DataFrame) -> DataFrame:
 def ground(labels: DataFrame, index: DataFrame, most: int = 24, relaxed: bool = False, least: int = 1) -> DataFrame:
     """(label, uid) of the names that hold all words of a label, at most ``most`` by uid.
 
-    labels: label, words. ``relaxed`` leaves out words no name has; ``least`` known words are needed.
+    labels: label, words. ``relaxed`` leaves out words no name has; ``least`` known words are
+    needed. Candidates are the names with a label's rarest word, so frequent words join nothing.
     """
-    each = labels.select("label", F.explode(F.array_distinct("words")).alias("word"))
-    if relaxed:
-        each = each.join(index.select("word").distinct(), "word", "left_semi")
-    need = each.groupBy("label").agg(F.count(F.lit(1)).alias("need")).where(F.col("need") >= least)
-    hit = each.join(index, "word").groupBy("label", "uid").agg(F.count(F.lit(1)).alias("got"))
-    whole = hit.join(need, "label").where("got = need")
+    uses = index.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+    each = labels.select("label", F.explode(F.array_distinct("words")).alias("word")).join(uses, "word", "left")
+    wanted = each.groupBy("label").agg(F.collect_list(F.when(F.col("uses").isNotNull(), F.col("word"))).alias("need"), F.count(F.lit(1)).alias("words"), F.min(F.when(F.col("uses").isNotNull(), F.struct("uses", "word"))).alias("rare"))
+    able = wanted.where((F.size("need") >= least) & (F.lit(relaxed) | (F.size("need") == F.col("words"))))
+    names = index.groupBy("uid").agg(F.collect_set("word").alias("have"))
+    candidates = able.select("label", "need", F.col("rare.word").alias("word")).join(index, "word").join(names, "uid")
+    whole = candidates.where(F.size(F.array_except("need", "have")) == 0).select("label", "uid")
     rank = F.row_number().over(Window.partitionBy("label").orderBy("uid"))
     return whole.withColumn("rank", rank).where(F.col("rank") <= most).select("label", "uid")
 

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylens.runtime import pick
+from quarrylens.runtime import pick, unclash
 
 
 def normal_path(path: Column) -> Column:
@@ -94,6 +94,10 @@ def replay_changes(files: DataFrame, index_runs: DataFrame) -> DataFrame:
     return new_or_changed(source, state, ["run_id", "path"], "hash").select("run_id", "path")
 
 
+#: Columns a target adds; source columns of these names, and those that differ from others in letter case only, are renamed.
+RESERVED = ("_kept", "_source_version", "_segment", "_newest", "_r")
+
+
 class PublishConflict(RuntimeError):
     """Another run published the version this run was about to publish."""
 
@@ -172,6 +176,7 @@ class IncrementalTarget:
         return self._pending(source, self._rows(self._manifest()[1]))
 
     def _pending(self, source: DataFrame, rows: DataFrame | None) -> DataFrame:
+        source = unclash(source, RESERVED)
         names = [c for c in source.columns if c not in (*self.keys, self.version)]
         one = source.groupBy(*self.keys).agg(F.max(F.struct(self.version, *names)).alias("_r")).select(*self.keys, "_r.*")
         if rows is None:

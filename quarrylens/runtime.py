@@ -36,6 +36,20 @@ def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     return flat.select(*[F.col(f"__c{i}").alias(out) for out, i in position.items()])
 
 
+def unclash(df: DataFrame, reserved: tuple[str, ...] = ()) -> DataFrame:
+    """The same columns under names that also differ without letter case: later ones that clash get ``__2``, ``__3``."""
+    seen = {r.lower() for r in reserved}
+    names = []
+    for c in df.columns:
+        name, k = c, 1
+        while name.lower() in seen:
+            k += 1
+            name = f"{c}__{k}"
+        seen.add(name.lower())
+        names.append(name)
+    return df if names == df.columns else df.toDF(*names)
+
+
 def parallel(scan: DataFrame) -> DataFrame:
     """A scan whose rows cost much CPU, spread over all cores where its files make fewer partitions than that."""
     cores = scan.sparkSession.sparkContext.defaultParallelism

@@ -68,6 +68,13 @@ def test_each_run_processes_only_what_is_new(spark, tmp_path):
     assert t.compact() == 3 and t.read().count() == 3 and t.pending(second).count() == 0
 
 
+def test_clashing_columns_are_kept_under_other_names(spark, tmp_path):
+    t = target(spark, tmp_path)
+    rows = spark.createDataFrame([(1, "a", 2, "x" * 100_000, None)], "k int, v string, c2 int, c3 string, c4 string").toDF("k", "v", "K", "_kept", "V")
+    assert t.sync(rows) == 1 and t.sync(rows) == 1
+    assert t.read().columns == ["k", "v", "K__2", "_kept__2", "V__2"] and t.read().count() == 1
+
+
 def test_a_failed_run_leaves_the_version_before(spark, tmp_path):
     t = target(spark, tmp_path)
     t.sync(frame(spark, [(1, "a", 1)]))
