@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The most nodes of a kind, and the share of the budget they may take.
-KIND_CAPS = {"Symbol": (24, 0.55), "DocSection": (8, 0.30), "Concept": (6, 0.15), "BusinessRule": (10, 0.25), "DatabaseObject": (6, 0.15), "File": (6, 0.15), "Commit": (6, 0.15)}
+KIND_CAPS = {"Concept": (6, 0.20), "DocSection": (5, 0.30), "BusinessRule": (6, 0.25), "Commit": (4, 0.10), "DatabaseObject": (6, 0.15), "Symbol": (20, 0.60), "File": (0, 0.05)}
 ANSWER_SHARE = 0.4
 
 
@@ -62,6 +62,16 @@ def select_each(candidates: DataFrame, budget: int) -> DataFrame:
     return candidates.groupBy("query").applyInPandas(run, "query string, uid string, place long")
 
 
+def take_within(ranked: Iterable[dict], budget: int) -> list[dict]:
+    """Ranked rows with tokens that still fit, in order, skipping those that do not."""
+    out, left = [], budget
+    for r in ranked:
+        if r["tokens"] <= left:
+            out.append(r)
+            left -= r["tokens"]
+    return out
+
+
 def reading_plan(regions: Iterable[dict], budget: int, most: int = 6, per_line: int = 10) -> list[dict]:
     """The first regions (path, start, end) in order that still fit, skipping those that do not."""
     plan: list[dict] = []

@@ -111,7 +111,7 @@ def rank_audit(ranks: DataFrame) -> DataFrame:
 
 
 # Words of subjects that describe mechanical changes.
-MECHANICAL = ["bump", "merge", "release", "version", "typo", "lint", "format", "rename", "revert", "translation", "changelog"]
+MECHANICAL = ["bump", "version", "translation", "typo", "lint", "format", "changelog", "merge", "revert", "pre-commit", "ci:", "chore", "whitespace", "rename"]
 
 
 def tasks_from_history(commits: DataFrame, present: DataFrame, least_words: int = 5, most_files: int = 6) -> DataFrame:
@@ -121,7 +121,7 @@ def tasks_from_history(commits: DataFrame, present: DataFrame, least_words: int
     """
     rows = history.commits(commits).where(F.col("change_class").isin("fix", "feature") & F.col("subject").isNotNull())
     rows = rows.withColumn("prompt", T.clean_subject("subject"))
-    plain = ~F.lower("prompt").rlike(rf"\b({'|'.join(MECHANICAL)})\b")
+    plain = ~F.lower("subject").rlike("|".join(MECHANICAL))
     rows = rows.where((F.size(F.split("prompt", " ")) >= least_words) & plain)
     code = F.filter("files", lambda p: T.file_language(p).isin(T.lex.CODE_LANGUAGES))
     rows = rows.withColumn("code", code).where(F.size("code").between(1, most_files) & ~F.exists("code", T.is_test_path))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrylens.functions import text as T
 
 # Weight of a node's kind among the seeds.
-KIND_WEIGHTS = {"Symbol": 1.0, "Concept": 1.0, "BusinessRule": 0.95, "DocSection": 0.9, "DatabaseObject": 0.85, "File": 0.6, "Commit": 0.4}
+KIND_WEIGHTS = {"Concept": 1.0, "BusinessRule": 1.0, "DocSection": 0.9, "Symbol": 0.85, "DatabaseObject": 0.7, "File": 0.35, "Commit": 0.3}
 
 
 def bump(scores: DataFrame) -> DataFrame:
@@ -24,14 +24,17 @@ def boost(scores: DataFrame) -> DataFrame:
 def seed_scores(hits: DataFrame, asked: list[str]) -> DataFrame:
     """(uid, score, reason): relevance as a share of the best, by kind, confidence, covered words and path.
 
-    hits: uid, kind, name, path, confidence, relevance.
+    hits: uid, kind, name, path, confidence, relevance and, where there is one, payload. A node
+    answers the words of its name, path and summary.
     """
     words = F.array(*[F.lit(w) for w in asked])
     weight = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in KIND_WEIGHTS.items() for x in (F.lit(k), F.lit(v))]), F.col("kind")), F.lit(0.5))
     best = hits.agg(F.max("relevance").alias("best"))
     share = F.least(F.greatest(F.col("relevance") / F.col("best"), F.lit(0.0)), F.lit(1.0))
-    cover = T.coverage(words, T.meaningful_words("name"))
-    score = share * weight * F.col("confidence") * (0.35 + 0.65 * cover) * (1 + T.path_affinity(words, "path"))
+    summary = F.get_json_object("payload", "$.summary") if "payload" in hits.columns else F.lit(None).cast("string")
+    own = T.meaningful_words(F.concat_ws(" ", "name", F.translate("path", "/.", "  "), summary))
+    cover = T.coverage(words, own) if asked else F.lit(1.0)
+    score = share * weight * F.col("confidence") * (0.35 + 0.65 * cover) * (1 + F.coalesce(T.path_affinity(words, "path"), F.lit(0.0)))
     return hits.crossJoin(F.broadcast(best)).select("uid", F.round(score, 6).alias("score"), F.lit("matches the words of the task").alias("reason"))
 
 

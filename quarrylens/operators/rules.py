@@ -44,14 +44,16 @@ def distinct_rules(rules: DataFrame) -> DataFrame:
     return rules.withColumn("rank", rank).where("rank = 1").drop("rank")
 
 
-def corroborate(rules: DataFrame, gain: float = 0.05, most: float = 0.98) -> DataFrame:
-    """Adds ``corroborated``, the number of other kinds of source with the same subject and polarity, and raises confidence by it.
+def corroborate(rules: DataFrame, gain: float = 0.15, most: float = 0.97) -> DataFrame:
+    """Adds ``corroborated``, the number of other kinds of source with the same subject and polarity, and ``status``.
+
+    Each other kind raises confidence by ``gain`` of itself, up to ``most``; two make a rule OBSERVED.
 
     Kinds are counted for each subject and polarity first, so no group of rules is gathered.
     """
     kinds = rules.groupBy("subject", "polarity").agg(F.size(F.collect_set("source")).alias("kinds"))
     joined = rules.join(F.broadcast(kinds), ["subject", "polarity"])  # subjects and polarities are a fixed list
-    return joined.withColumn("corroborated", F.col("kinds") - 1).withColumn("confidence", F.round(F.least(F.col("confidence") + gain * F.col("corroborated"), F.lit(most)), 4)).drop("kinds")
+    return joined.withColumn("corroborated", F.col("kinds") - 1).withColumn("confidence", F.when(F.col("corroborated") > 0, F.round(F.least(F.col("confidence") * (1 + gain * F.col("corroborated")), F.lit(most)), 4)).otherwise(F.col("confidence"))).withColumn("status", F.when(F.col("corroborated") >= 2, "OBSERVED").otherwise("INFERRED")).drop("kinds")
 
 
 def claim_stems(claim, subject):

@@ -114,7 +114,7 @@ def context(nodes: DataFrame, edges: DataFrame, files: DataFrame, prior: DataFra
     words, named = list(frame.w), list(frame.i)
     docs = nodes.withColumn("body", F.concat_ws(" ", F.array_join(T.split_identifier("name"), " "), F.translate("path", "/_-.", "    ")))
     index = search.postings(docs, "uid", "body")
-    hits = search.prefix_search(index, "uid", words).withColumnRenamed("score", "relevance").join(nodes.select("uid", "kind", "name", "path", "confidence"), "uid")
+    hits = search.prefix_search(index, "uid", words).withColumnRenamed("score", "relevance").join(nodes.select("uid", "kind", "name", "path", "confidence", "payload"), "uid")
     seeds = ranking.seed_scores(hits, words).unionByName(ranking.verbatim_scores(nodes.where("kind = 'Symbol'"), named, words))
     scan = search.content_scan(files, "path", "content", words)
     at_files = nodes.where("kind = 'File'").select("uid", "path")

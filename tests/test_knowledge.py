@@ -79,6 +79,7 @@ def test_rules_conflicts_and_corroboration(spark):
     assert by == {("document", "require"), ("code_guard", "bypass"), ("test", "require"), ("code_doc", "require")}
     sure = rules.corroborate(found)
     assert {r.source: r.corroborated for r in sure.collect()} == {"document": 2, "test": 2, "code_doc": 2, "code_guard": 0}
+    assert {r.source: (r.confidence, r.status) for r in sure.collect()}["document"] == (round(0.7 * 1.3, 4), "OBSERVED")
     clash = rules.conflicts(sure).collect()
     assert len(clash) == 1 and clash[0].shared >= 2
     staged_nodes, staged_edges, evidence = rules.staged(sure, rules.conflicts(sure))

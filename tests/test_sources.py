@@ -163,6 +163,7 @@ def test_selection_keeps_its_budget(rows, size):
 def test_plans_skip_what_does_not_fit(spark):
     regions = [{"path": "a", "start": 1, "end": 10}, {"path": "b", "start": 1, "end": 100}, {"path": "c", "start": 1, "end": 5}]
     assert [r["path"] for r in budget.reading_plan(regions, 160)] == ["a", "c"]
+    assert [r["k"] for r in budget.take_within([{"k": 1, "tokens": 5}, {"k": 2, "tokens": 9}, {"k": 3, "tokens": 4}], 10)] == [1, 3]
     plan = budget.edit_plan([{"path": "x", "start": 500, "end": 510}, {"path": "x", "start": 520, "end": 530}, {"path": "y", "start": 3, "end": 4}], {"x": 900, "y": 30}, 10_000)
     assert [(r["path"], r["start"], r["end"]) for r in plan] == [("x", 1, 40), ("x", 488, 534), ("y", 1, 30)]
     frame = spark.createDataFrame([("Python", f"u{i}", "Symbol", 1.0, 100, False) for i in range(5)], "query string, uid string, kind string, score double, tokens long, conflicted boolean")
