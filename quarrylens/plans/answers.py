@@ -102,6 +102,18 @@ def report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(edges.agg(F.count(F.lit(1)).alias("edges"))))
 
 
+def concept_expansion(nodes: DataFrame, index: DataFrame, seeds: DataFrame, words: list[str], most: int = 3, each: int = 15, decay: float = 0.5) -> DataFrame:
+    """(uid, score, reason): what the other words of the best seeded concepts find, at ``decay`` of the concept's score."""
+    top = seeds.groupBy("uid").agg(F.max("score").alias("score")).join(nodes.where("kind = 'Concept'").select("uid", "name"), "uid")
+    novel = F.array_except(T.meaningful_words(F.concat_ws(" ", "name", F.translate(F.substring_index("uid", ":", -1), "_", " "))), F.array(*[F.lit(w) for w in words]).cast("array<string>"))
+    out = nodes.sparkSession.createDataFrame([], "uid string, score double, reason string")
+    for r in top.select("name", "score", novel.alias("novel")).where(F.size("novel") > 0).orderBy(F.desc("score"), "name").limit(most).collect():  # at most three rows
+        found = search.prefix_search(index, "uid", list(r.novel), most=each)
+        best = found.agg(F.max("score").alias("best"))
+        out = out.unionByName(found.crossJoin(F.broadcast(best)).select("uid", (F.lit(r.score * decay) * F.col("score") / F.col("best")).alias("score"), F.lit(f"uses the words of {r.name}").alias("reason")))
+    return out
+
+
 def context(nodes: DataFrame, edges: DataFrame, files: DataFrame, prior: DataFrame, task: str, budget: int = 4000, exclude: list[str] | None = None) -> dict:
     """What to read for a task within a budget of tokens.
 
@@ -113,9 +125,10 @@ def context(nodes: DataFrame, edges: DataFrame, files: DataFrame, prior: DataFra
     frame = spark.createDataFrame([(task,)], "t string").select(T.meaningful_words("t").alias("w"), T.identifier_tokens("t").alias("i")).first()
     words, named = list(frame.w), list(frame.i)
     docs = nodes.withColumn("body", F.concat_ws(" ", F.array_join(T.split_identifier("name"), " "), F.translate("path", "/_-.", "    ")))
-    index = search.postings(docs, "uid", "body")
+    index = cut(search.postings(docs, "uid", "body"))
     hits = search.prefix_search(index, "uid", words).withColumnRenamed("score", "relevance").join(nodes.select("uid", "kind", "name", "path", "confidence", "payload"), "uid")
     seeds = ranking.seed_scores(hits, words).unionByName(ranking.verbatim_scores(nodes.where("kind = 'Symbol'"), named, words))
+    seeds = seeds.unionByName(concept_expansion(nodes, index, seeds, words))
     scan = search.content_scan(files, "path", "content", words)
     at_files = nodes.where("kind = 'File'").select("uid", "path")
     seeds = seeds.unionByName(at_files.join(scan, "path").select("uid", (F.col("score") * 0.6).alias("score"), F.lit("its text holds the words").alias("reason")))

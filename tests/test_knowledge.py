@@ -149,6 +149,14 @@ def test_answers(spark, nodes, edges):
     assert (rep.files, rep.symbols, rep.tables, rep.edges, rep.documented_share) == (2, 5, 1, 6, 0.2)
 
 
+def test_concepts_bring_in_their_other_words(spark, nodes):
+    index = search.postings(nodes.withColumn("body", F.concat_ws(" ", F.translate("name", "_", " "), "path")), "uid", "body")
+    named = nodes.unionByName(nodes.where("kind = 'Concept'").withColumn("uid", F.lit("concept:LOG")).withColumn("name", F.lit("approval nightly")))
+    seeds = spark.createDataFrame([("concept:LOG", 0.8, "x"), ("sym:shop/report.py#run", 1.0, "y")], "uid string, score double, reason string")
+    got = {r.uid: r.score for r in answers.concept_expansion(named, index, seeds, ["approval"]).collect()}
+    assert got["sym:shop/batch.py#nightly"] > 0 and max(got.values()) == 0.4
+
+
 def test_context_stays_within_its_budget(spark, nodes, edges):
     files = spark.createDataFrame([("shop/order.py", "def requires_approval(): pass"), ("shop/report.py", "x")], "path string, content string")
     prior = spark.createDataFrame([("approval", "shop/order.py", 2, 1.0)], "term string, path string, n long, score double")
