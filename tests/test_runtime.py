@@ -19,7 +19,7 @@ def test_salted_join_equals_a_plain_join(spark):
 def test_columns_are_picked_by_exact_name_first(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int").toDF("A", "a", "a.b")
     assert tuple(runtime.pick(df, "a", upper="A", dotted="a.b").first()) == (2, 1, 3)
-    assert runtime.pick(df.select("A"), "a").first().a == 1
+    assert runtime.pick(df.toDF("A", "x", "y"), "a").first().a == 1
     with pytest.raises(ValueError):
         runtime.pick(df, "missing")
     assert runtime.unclash(df, ("A.B",)).columns == ["A", "a__2", "a.b__2"]
