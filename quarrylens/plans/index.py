@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quarrylens.functions import text as T
 from quarrylens.operators import concepts, extract, graph, history, resolve, rules
 from quarrylens.operators.incremental import IncrementalTarget
-from quarrylens.runtime import cut
+from quarrylens.runtime import cut, ship
 from quarrylens.sources import files as repo_files
 from quarrylens.sources import records
 from quarrylens.sources.documents import html_to_markdown
@@ -40,6 +40,7 @@ class Index:
     """The stored graph of one repository under ``store``, a folder all executors share."""
 
     def __init__(self, spark: SparkSession, store: str):
+        ship(spark)
         self.spark, self.store = spark, store.rstrip("/")
         self.stages = StageStore(spark, f"{self.store}/stages")
         self.declared = IncrementalTarget(spark, f"{self.store}/declared", ["path"], "hash")
