@@ -136,11 +136,17 @@ class Index:
             nonlocal clock
             timings[name], clock = round(time.time() - clock, 3), time.time()
 
-        current = repo_files.walk(self.spark, root).where("skipped is null and path <> '.quarrylens.lock'").drop("content", "skipped")
         head = records.head_sha(root) if with_history else None
+        stamps = repo_files.stamps(self.spark, root).where("path <> '.quarrylens.lock'")
+        stamp = f"{frame_fingerprint(stamps)}@{head}"
+        if self.stages.fingerprint("stamps") == stamp:
+            tick("discover")
+            return {"changed": False, "timings": timings}
+        current = repo_files.walk(self.spark, root).where("skipped is null and path <> '.quarrylens.lock'").drop("content", "skipped")
         mark = f"{frame_fingerprint(current.select('path', 'hash'))}@{head}"
         tick("discover")
         if self.stages.fingerprint("files") == mark:
+            self._remember(stamp)  # touched without a change
             return {"changed": False, "timings": timings}
         before = self.stages.read("files") if self.stages.fingerprint("files") else current.limit(0)
         changes = {r.change: r.n for r in repo_files.changed_files(current, before).groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -158,9 +164,13 @@ class Index:
         self.stages.write("edges", graph.upsert_edges(edges, nodes, "confidence"), mark, ["kind"])
         tick("edges")
         self.stages.write("files", current, mark)
+        self._remember(stamp)
         tick("files")
         return {"changed": True, "changes": changes, "timings": timings}
 
+    def _remember(self, stamp: str) -> None:
+        self.stages.write("stamps", self.spark.createDataFrame([(stamp,)], "stamp string"), stamp)
+
     def nodes(self) -> DataFrame:
         return self.stages.read("nodes")
 

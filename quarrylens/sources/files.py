@@ -52,12 +52,23 @@ def skip_reason(path: Column, size: Column, content: Column, rules: list[tuple[s
     return F.when(excluded, "folder").when(generated, "generated").when(ignored, "ignored").when(size > lex.MAX_FILE_BYTES, "large").when(binary, "binary")
 
 
-def walk(spark: SparkSession, root: str) -> DataFrame:
-    """(path, lang, hash, bytes, lines, mtime, content, skipped) of every file below a root, by path."""
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, bytes, mtime, content) below a root; content is read only where a column needs it."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = "file:" + os.path.abspath(root).rstrip("/") + "/"
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:/"), "^" + base.replace("file://", "file:/"), "")
-    rows = raw.select(path.alias("path"), F.col("length").alias("bytes"), F.unix_micros("modificationTime").alias("mtime"), "content")
+    base = "^file:/+" + os.path.abspath(root).strip("/") + "/"
+    return raw.select(F.regexp_replace("path", base, "").alias("path"), F.col("length").alias("bytes"), F.unix_micros("modificationTime").alias("mtime"), "content")
+
+
+def stamps(spark: SparkSession, root: str) -> DataFrame:
+    """(path, bytes, mtime) of the files that may be indexed, without reading them."""
+    rows = _listed(spark, root).drop("content")
+    skipped = skip_reason(F.col("path"), F.col("bytes"), F.lit(bytearray()), ignore_rules(root))
+    return rows.where(skipped.isNull())
+
+
+def walk(spark: SparkSession, root: str) -> DataFrame:
+    """(path, lang, hash, bytes, lines, mtime, text, content, skipped) of every file below a root, by path."""
+    rows = _listed(spark, root)
     rows = rows.withColumn("skipped", skip_reason(F.col("path"), F.col("bytes"), F.col("content"), ignore_rules(root)))
     text = F.when(F.col("skipped").isNull() & F.is_valid_utf8("content"), F.decode("content", "utf-8"))
     lines = F.size(F.split(F.regexp_replace(text, r"\n$", ""), "\n"))
