@@ -256,4 +256,37 @@ ORACLES = {
         ce AS (SELECT 1 FROM (SELECT * FROM pairs ORDER BY support DESC, repo, path_a, path_b LIMIT 20000) WHERE 'file:' || path_a IN (SELECT uid FROM n) AND 'file:' || path_b IN (SELECT uid FROM n))
         SELECT count(*) FILTER (kind = 'File') AS files, count(*) FILTER (kind = 'Symbol') AS symbols, 0 AS sections, 0 AS concepts, 0 AS tables, 0 AS rules, 0 AS commits, CAST(0 AS DOUBLE) AS documented_share,
                (SELECT count(*) FROM calls) + (SELECT count(*) FROM ce) AS edges FROM n""",
+    "code_phrases": f"""WITH {_NODES}, w AS (SELECT uid, {_split('name')} AS w FROM n WHERE kind = 'Symbol'), lim AS (SELECT greatest(count(*) * 0.5, 25) AS l FROM w),
+        common AS (SELECT word FROM (SELECT uid, unnest(list_distinct(w)) AS word FROM w) GROUP BY word HAVING count(*) > (SELECT l FROM lim)),
+        p AS (SELECT DISTINCT uid, w[i] AS a, w[i + 1] AS b FROM w, range(1, 30) t(i) WHERE i < len(w))
+        SELECT a || ' ' || b AS phrase, count(DISTINCT uid) AS symbols FROM p WHERE length(a) >= 3 AND length(b) >= 3 AND a NOT IN (SELECT word FROM common) AND b NOT IN (SELECT word FROM common)
+        GROUP BY 1 HAVING count(DISTINCT uid) >= 3 ORDER BY symbols DESC, phrase LIMIT 400""",
+    "heading_concepts": f"""WITH {_NODES}, idx AS (SELECT DISTINCT uid, unnest(list_filter({_split('name')}, lambda w: strlen(w) >= 3 AND NOT list_contains({_STOP}, w))) AS word FROM n WHERE kind IN ('Symbol', 'DatabaseObject')),
+        h AS (SELECT DISTINCT replace(regexp_extract(slug, '[^.]*$'), '-', ' ') AS label FROM sections WHERE slug IS NOT NULL),
+        l AS (SELECT label, unnest({_meaningful('label')}) AS word FROM h), need AS (SELECT label, count(*) AS need FROM l GROUP BY 1),
+        hit AS (SELECT label, uid FROM l JOIN idx USING (word) JOIN need USING (label) GROUP BY label, uid, need HAVING count(*) = need),
+        g AS (SELECT label, least(count(*), 24) AS grounded, trim(regexp_replace(upper(label), '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '_') AS concept FROM hit GROUP BY label)
+        SELECT concept, min(label) AS label, CAST(max(grounded) AS BIGINT) AS grounded FROM g GROUP BY concept ORDER BY grounded DESC, concept LIMIT 400""",
+    "rule_conflicts": """SELECT * FROM (VALUES
+        ('Orders of strategic customers must get an approval', 'strategic customers orders skip approval', 'approval', CAST(3 AS BIGINT)),
+        ('Returned goods are exempt from approval', 'Approval of returned goods is required', 'approval', CAST(2 AS BIGINT))) t(documented_claim, observed_claim, subject, shared)""",
+    "corroborate": """WITH r AS (SELECT * FROM (VALUES ('document', 'require', 'Orders of strategic customers must get an approval', 0.7), ('code_guard', 'bypass', 'strategic customers orders skip approval', 0.8),
+          ('test', 'require', 'strategic orders require approval', 0.9), ('document', 'bypass', 'Returned goods are exempt from approval', 0.7), ('code_doc', 'require', 'Approval of returned goods is required', 0.72)) v(source, polarity, claim, c)),
+        k AS (SELECT *, (SELECT count(DISTINCT source) FROM r o WHERE o.polarity = r.polarity) - 1 AS others FROM r)
+        SELECT claim, CAST(others AS INTEGER) AS corroborated, CASE WHEN others > 0 THEN round(least(CAST(c AS DOUBLE) * (1 + CAST(0.15 AS DOUBLE) * others), 0.97), 4) ELSE CAST(c AS DOUBLE) END AS confidence, CASE WHEN others >= 2 THEN 'OBSERVED' ELSE 'INFERRED' END AS status FROM k""",
+    "coverage_by_language": f"""WITH {_EDGES}, {_CO.strip()},
+        top AS (SELECT * FROM pairs ORDER BY support DESC, repo, path_a, path_b LIMIT 20000),
+        e AS (SELECT src, dst FROM calls UNION SELECT 'file:' || path_a, 'file:' || path_b FROM top),
+        entered AS (SELECT DISTINCT b.path FROM e JOIN n a ON a.uid = e.src JOIN n b ON b.uid = e.dst WHERE a.path <> b.path),
+        f AS (SELECT path, max(lang) AS lang FROM n WHERE kind = 'File' AND path IS NOT NULL GROUP BY path),
+        g AS (SELECT lang, count(*) AS files, count(*) FILTER (path IN (SELECT path FROM entered)) AS covered FROM f GROUP BY lang)
+        SELECT lang, files, covered, round(covered / files, 4) AS share FROM g
+        UNION ALL SELECT 'TOTAL', CAST(sum(files) AS BIGINT), CAST(sum(covered) AS BIGINT), round(sum(covered) / sum(files), 4) FROM g""",
+    "tasks_from_history": f"""WITH {_COMMITS}, k AS (SELECT *, {_class('lower(trim(subject))')} AS kind,
+          trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(subject), '^[A-Za-z]+(\\([^()]*\\))?!?: *', ''), '\\([^()]*\\)', ' ', 'g'), '#[0-9]+', ' ', 'g'), '\\s+', ' ', 'g')) AS prompt FROM c WHERE subject IS NOT NULL),
+        x AS (SELECT sha, repo, prompt, unnest(files) AS path FROM k WHERE kind IN ('fix', 'feature') AND len(string_split(prompt, ' ')) >= 5
+          AND NOT regexp_matches(lower(subject), 'bump|version|translation|typo|lint|format|changelog|merge|revert|pre-commit|ci:|chore|whitespace|rename')),
+        code AS (SELECT * FROM x WHERE {_extension()} IN ({', '.join(repr(c) for c in lex.CODE_LANGUAGES)})),
+        kept AS (SELECT sha FROM code GROUP BY sha HAVING count(*) BETWEEN 1 AND 6 AND NOT bool_or({_TEST}))
+        SELECT sha AS task, repo, prompt, path FROM code WHERE sha IN (SELECT sha FROM kept) AND (repo, path) IN (SELECT repo, path FROM discovered)""",
 }

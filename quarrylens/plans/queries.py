@@ -188,11 +188,13 @@ def ground_labels(s: SparkSession, d: str) -> DataFrame:
 
 
 def code_phrases(s: SparkSession, d: str) -> DataFrame:
-    return concepts.code_phrases(tables.nodes(s, d).where("kind = 'Symbol'"))
+    return concepts.code_phrases(tables.nodes(s, d).where("kind = 'Symbol'"), share=0.5)
 
 
 def heading_concepts(s: SparkSession, d: str) -> DataFrame:
-    return concepts.heading_concepts(table(s, d, "sections"), concepts.grounding_index(tables.nodes(s, d)))
+    """Concepts of the last parts of section slugs, whose words are those of the code."""
+    heads = pick(table(s, d, "sections"), "slug").select(F.translate(F.substring_index("slug", ".", -1), "-", " ").alias("title")).distinct()
+    return concepts.heading_concepts(heads, concepts.grounding_index(tables.nodes(s, d)))
 
 
 def mined_rules(s: SparkSession, d: str) -> DataFrame:
@@ -204,8 +206,26 @@ def mined_rules(s: SparkSession, d: str) -> DataFrame:
     return rules.corroborate(rules.distinct_rules(docs.unionByName(code)))
 
 
+#: Rules of an invented shop: source, polarity, claim, anchor; all about approval.
+SHOP_RULES = [
+    ("document", "require", "Orders of strategic customers must get an approval", "doc:brd"), ("code_guard", "bypass", "strategic customers orders skip approval", "sym:order"),
+    ("test", "require", "strategic orders require approval", "sym:test"), ("document", "bypass", "Returned goods are exempt from approval", "doc:returns"), ("code_doc", "require", "Approval of returned goods is required", "sym:returns"),
+]
+
+
+def shop_rules(s: SparkSession) -> DataFrame:
+    rows = s.createDataFrame([("approval", *r) for r in SHOP_RULES], "subject string, source string, polarity string, claim string, anchor string")
+    rule = T.rule_id(F.col("subject"), F.col("polarity"), F.col("claim")).alias("rule")
+    strength = F.create_map(*[x for k, v in T.lex.RULE_STRENGTH.items() for x in (F.lit(k), F.lit(v))])[F.col("source")]
+    return rules.corroborate(rows.select(rule, "subject", "polarity", "source", "claim", "anchor", F.col("anchor").alias("location"), strength.alias("confidence")))
+
+
 def rule_conflicts(s: SparkSession, d: str) -> DataFrame:
-    return rules.conflicts(mined_rules(s, d))
+    return rules.conflicts(shop_rules(s)).select("documented_claim", "observed_claim", "subject", "shared")
+
+
+def corroborated(s: SparkSession, d: str) -> DataFrame:
+    return shop_rules(s).select("claim", "corroborated", "confidence", "status")
 
 
 def rules_by_side(s: SparkSession, d: str) -> DataFrame:
@@ -220,10 +240,6 @@ def declared_symbols(s: SparkSession, d: str) -> DataFrame:
     return extract.symbols(tables.files(s, d)).groupBy("lang", "what").agg(F.count(F.lit(1)).alias("declared"))
 
 
-def module_imports(s: SparkSession, d: str) -> DataFrame:
-    return resolve.module_edges(extract.import_lines(tables.files(s, d)), tables.files(s, d).select("path"))
-
-
 def repo_fingerprint(s: SparkSession, d: str) -> DataFrame:
     rows = pick(table(s, d, "discovered"), "repo", "path", "hash").where("hash is not null").distinct()
     return rows.groupBy("repo").agg(T.fingerprint(F.collect_list(F.concat_ws(" ", "path", F.lower("hash")))).alias("fingerprint"))
@@ -328,9 +344,9 @@ def queries() -> dict[str, Query]:
         "heading_concepts": heading_concepts,
         "mined_rules": rules_by_side,
         "rule_conflicts": rule_conflicts,
+        "corroborate": corroborated,
         "table_access": table_access,
         "declared_symbols": declared_symbols,
-        "module_imports": module_imports,
         "repo_fingerprint": repo_fingerprint,
         "merge_regions": merge_regions,
         "score_outcomes": outcomes,
