@@ -23,14 +23,20 @@ def commit_files(df: DataFrame) -> DataFrame:
     return commits(df).select("sha", "repo", "authored_ts", "change_class", F.explode("files").alias("path"))
 
 
-def co_changes(df: DataFrame, low: int = 2, high: int = 20, support: int = 3, most: int = 20_000) -> DataFrame:
-    """(repo, path_a, path_b, support, confidence): pairs changed together in commits of ``low`` to ``high`` files."""
+def co_changes(df: DataFrame, low: int = 2, high: int = 20, support: int = 3, most: int | None = None) -> DataFrame:
+    """(repo, path_a, path_b, support, confidence): pairs changed together in commits of ``low`` to ``high`` files.
+
+    All pairs, or with ``most`` the best of each repository.
+    """
     small = commits(df).select("repo", F.array_sort("files").alias("f")).where(F.size("f").between(low, high))
     heads = small.select("repo", "f", F.posexplode("f").alias("at", "path_a"))
     pairs = heads.select("repo", "path_a", F.explode(F.expr("slice(f, at + 2, size(f))")).alias("path_b"))
     counted = pairs.groupBy("repo", "path_a", "path_b").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= support)
     scored = counted.withColumn("confidence", F.round(F.least(0.4 + 0.05 * F.col("support"), F.lit(0.85)), 4))
-    return scored.orderBy(F.desc("support"), "repo", "path_a", "path_b").limit(most)
+    if most is None:
+        return scored
+    rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("support"), "path_a", "path_b"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
 
 
 def co_changed_with(pairs: DataFrame, path: str) -> DataFrame:

@@ -23,6 +23,8 @@ from quarrylens.sources import records
 from quarrylens.sources.documents import html_to_markdown
 from quarrylens.sources.store import StageStore, frame_fingerprint, index_lock
 
+#: Pairs changed together that the graph of one repository holds at most.
+CO_CHANGE_MOST = 20_000
 EDGE = "src string, dst string, kind string, status string, confidence double"
 NODE = ["uid", "kind", "name", "path", "line_start", "line_end", "lang", "status", "confidence", "payload"]
 
@@ -93,7 +95,7 @@ class Index:
         owners = graph.innermost(symbol_nodes, access.select("path", "line").distinct())
         owned = access.join(owners, ["path", "line"], "left").withColumn("owner", F.coalesce("uid", file_uid))
         log = commits.select("sha", F.lit("").alias("repo"), "authored_ts", "subject", "files", F.lit(None).cast("timestamp").alias("ingested_at"))
-        pairs = history.co_changes(log)
+        pairs = history.co_changes(log, most=CO_CHANGE_MOST)
         parts = [
             _edge(graph.nesting(symbol_nodes), F.col("src"), F.col("dst"), "CALLS", 0.5),
             _edge(calls, F.col("from_uid"), F.col("uid"), None, F.col("confidence")),

@@ -256,7 +256,7 @@ def retrieval_offers(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Offers of two simple arms for commits: partners of the first file by how often, and by path."""
     c = history.commits(table(s, d, "commits")).where(F.size("files").between(2, 6)).select(F.col("sha").alias("task"), "repo", F.array_sort("files").alias("f"))
     asked = c.select("task", "repo", F.get("f", 0).alias("q"), F.explode(F.expr("slice(f, 2, size(f))")).alias("path"))
-    pairs = cut(history.co_changes(table(s, d, "commits"), most=1 << 30))
+    pairs = cut(history.co_changes(table(s, d, "commits")))
     both = pairs.select("repo", F.col("path_a").alias("q"), F.col("path_b").alias("path"), "support").unionByName(pairs.select("repo", F.col("path_b").alias("q"), F.col("path_a").alias("path"), "support"))
     often = F.row_number().over(Window.partitionBy("repo", "q").orderBy(F.desc("support"), "path"))
     named = F.row_number().over(Window.partitionBy("repo", "q").orderBy("path"))

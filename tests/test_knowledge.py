@@ -90,6 +90,14 @@ def test_rules_conflicts_and_corroboration(spark):
 COMMITS = "sha string, repo string, authored_ts long, subject string, files array<string>, ingested_at timestamp"
 
 
+def test_no_pair_is_dropped_over_many_repositories(spark):
+    rows = [(f"{r}-{g}-{i}", r, i, "x", [f"{g}/{k}.py" for k in range(20)], None) for r in ("one", "two") for g in range(54) for i in range(3)]
+    c = spark.createDataFrame(rows, COMMITS)
+    assert history.co_changes(c).count() == 2 * 54 * 190
+    best = history.co_changes(c, most=5).collect()
+    assert sorted(r.repo for r in best) == ["one"] * 5 + ["two"] * 5
+
+
 def test_history(spark):
     from datetime import datetime
 
