@@ -3,8 +3,8 @@
 The statistics of a text are shares of it that repeat earlier parts (runs of words,
 sentences, lines, character shares of frequent short runs). An isolation forest fitted on
 a bounded sample turns them into a score from path lengths over random splits; the
-threshold is calibrated on the rows of the sample, labelled by the definition itself, so
-that it lies below every labelled case. Rows above it go to the exact check.
+threshold is calibrated on the rows of the sample, labelled by the definition itself, and
+lowered to the least score of any case of the whole input. Rows above it go to the exact check.
 """
 
 from __future__ import annotations
@@ -211,8 +211,9 @@ def score(statistics_rows: DataFrame, share: float = 0.4, fit_rows: int = 5000,
     """Adds ``score`` and ``above`` (score at or over the calibrated threshold) to the statistics.
 
     The forest is fitted on at most ``fit_rows`` rows, taken evenly by a hash of the row;
-    the same rows, labelled by ``repeat_share >= share``, set the threshold. Without any
-    labelled case in the sample every row is above it. An empty input stays empty.
+    the same rows, labelled by ``repeat_share >= share``, set the threshold, which the least
+    score of all labelled rows lowers, so no case lies under it. Without any labelled case in
+    the sample every row is above it. An empty input stays empty.
     """
     sample = statistics_rows.select(*STATISTICS).orderBy(F.xxhash64(*statistics_rows.columns)).limit(fit_rows)
     rows = np.array([tuple(r) for r in sample.collect()], float).reshape(-1, len(STATISTICS))
@@ -226,10 +227,11 @@ def score(statistics_rows: DataFrame, share: float = 0.4, fit_rows: int = 5000,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = np.column_stack([batch.column(names.index(s)).to_numpy(zero_copy_only=False) for s in STATISTICS])
-            scores = forest.score(table)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(scores >= threshold)], [*names, "score", "above"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.score(table))], [*names, "score"])
 
-    return statistics_rows.mapInArrow(run, f"{fields}, score double, above boolean")
+    scored = cut(statistics_rows.mapInArrow(run, f"{fields}, score double"))
+    least = scored.where(F.col("repeat_share") >= share).agg(F.min("score")).first()[0]
+    return scored.withColumn("above", F.col("score") >= F.lit(threshold if least is None else min(threshold, least)))
 
 
 def found(documents: DataFrame, share: float = 0.4) -> DataFrame:

@@ -104,6 +104,19 @@ def test_found_repetition(spark):
     assert {r.doc_id for r in repetition.found(frame.where("doc_id in (3, 4, 5, 9)")).collect()} == set()
 
 
+def test_no_case_outside_the_sample_is_lost(spark):
+    import random
+
+    rng = random.Random(3)
+    size = len(repetition.STATISTICS) - 1
+    rows = [(i, rng.random() * 0.3, *[rng.random() * 0.3 for _ in range(size)]) for i in range(1000)]
+    rows += [(2000 + i, 0.9 + rng.random() / 10, *[0.9 + rng.random() / 10 for _ in range(size)]) for i in range(30)]
+    rows.append((3001, 0.41, *[0.15] * size))
+    frame = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} double" for c in repetition.STATISTICS))
+    kept = repetition.score(frame, fit_rows=200).where("above and repeat_share >= 0.4").collect()
+    assert {r.doc_id for r in kept} == {*range(2000, 2030), 3001}
+
+
 def test_isolation_finds_the_odd_rows():
     import numpy as np
 
