@@ -197,35 +197,30 @@ def heading_concepts(s: SparkSession, d: str) -> DataFrame:
     return concepts.heading_concepts(heads, concepts.grounding_index(tables.nodes(s, d)))
 
 
+def symbol_bodies(s: SparkSession, d: str) -> DataFrame:
+    """(uid, name, path, line_start, documentation, body) of each symbol whose file is there, with its lines of the file."""
+    symbols = tables.nodes(s, d).where("kind = 'Symbol' and line_start > 0 and line_end >= line_start").select("uid", F.coalesce("name", F.lit("")).alias("name"), "path", "line_start", "line_end")
+    text = tables.files(s, d).where("content is not null").select("path", F.split("content", "\n").alias("lines"))
+    own = F.array_join(F.slice("lines", F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
+    return symbols.join(text, "path").select("uid", "name", "path", "line_start", F.lit(None).cast("string").alias("documentation"), own.alias("body"))
+
+
 def mined_rules(s: SparkSession, d: str) -> DataFrame:
-    """Rules that sections and documentations state, each once for its anchor, with corroboration."""
+    """Rules that sections, documentations, names of tests and guards state, each once for its anchor, with corroboration."""
     sec = pick(table(s, d, "sections"), "section_id", "path", "line_no", "body").dropDuplicates(["section_id"])
     docs = rules.mine_documents(sec.select(F.concat(F.lit("doc:"), F.col("section_id").cast("string")).alias("uid"), "path", "line_no", "body"))
     told = pick(table(s, d, "why_answers"), "location", "signature", "documentation").where("location is not null").groupBy("location").agg(F.max(F.struct("documentation", "signature")).alias("r"))
-    code = rules.mine_code(told.select(F.concat(F.lit("at:"), "location").alias("uid"), F.lit("").alias("name"), F.lit("code").alias("path"), F.lit(0).alias("line_start"), "r.documentation", F.lit("").alias("body")))
-    return rules.corroborate(rules.distinct_rules(docs.unionByName(code)))
-
-
-#: Rules of an invented shop: source, polarity, claim, anchor; all about approval.
-SHOP_RULES = [
-    ("document", "require", "Orders of strategic customers must get an approval", "doc:brd"), ("code_guard", "bypass", "strategic customers orders skip approval", "sym:order"),
-    ("test", "require", "strategic orders require approval", "sym:test"), ("document", "bypass", "Returned goods are exempt from approval", "doc:returns"), ("code_doc", "require", "Approval of returned goods is required", "sym:returns"),
-]
-
-
-def shop_rules(s: SparkSession) -> DataFrame:
-    rows = s.createDataFrame([("approval", *r) for r in SHOP_RULES], "subject string, source string, polarity string, claim string, anchor string")
-    rule = T.rule_id(F.col("subject"), F.col("polarity"), F.col("claim")).alias("rule")
-    strength = F.create_map(*[x for k, v in T.lex.RULE_STRENGTH.items() for x in (F.lit(k), F.lit(v))])[F.col("source")]
-    return rules.corroborate(rows.select(rule, "subject", "polarity", "source", "claim", "anchor", F.col("anchor").alias("location"), strength.alias("confidence")))
+    told = told.select(F.concat(F.lit("at:"), "location").alias("uid"), F.lit("").alias("name"), F.lit("code").alias("path"), F.lit(0).alias("line_start"), "r.documentation", F.lit("").alias("body"))
+    code = rules.mine_code(told).unionByName(rules.mine_code(symbol_bodies(s, d)))
+    return rules.corroborate(rules.distinct_rules(cut(docs.unionByName(code))))
 
 
 def rule_conflicts(s: SparkSession, d: str) -> DataFrame:
-    return rules.conflicts(shop_rules(s)).select("documented_claim", "observed_claim", "subject", "shared")
+    return rules.conflicts(cut(mined_rules(s, d))).select("documented_claim", "observed_claim", "subject", "shared")
 
 
 def corroborated(s: SparkSession, d: str) -> DataFrame:
-    return shop_rules(s).select("claim", "corroborated", "confidence", "status")
+    return mined_rules(s, d).select("claim", "corroborated", "confidence", "status")
 
 
 def rules_by_side(s: SparkSession, d: str) -> DataFrame:
