@@ -16,7 +16,7 @@ from quarrylens.plans.index import Index
 
 
 def _rows(frame: DataFrame) -> list[dict]:
-    return [json.loads(x) for x in frame.limit(1000).toJSON().collect()]
+    return [json.loads(x) for x in frame.toJSON().toLocalIterator()]
 
 
 def main(argv: list[str] | None = None) -> dict:

@@ -174,7 +174,7 @@ def preflight_risk(s: SparkSession, d: str) -> DataFrame:
 
 
 def canonical_dump(s: SparkSession, d: str) -> DataFrame:
-    return graph.canonical_dump(tables.nodes(s, d), s.createDataFrame([], "src string, dst string, kind string, status string, confidence double"))
+    return graph.canonical_dump(tables.nodes(s, d), tables.edges(s, d))
 
 
 def prior_topk(s: SparkSession, d: str) -> DataFrame:

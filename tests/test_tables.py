@@ -1,5 +1,6 @@
 """Queries over small invented tables."""
 
+from quarrylens.__main__ import _rows
 from quarrylens.operators import rules
 from quarrylens.plans import queries as core
 
@@ -38,3 +39,11 @@ def test_rules_of_an_invented_shop(spark):
     sure = rules.corroborate(rows)
     assert {(r.source, r.polarity): (r.corroborated, r.status) for r in sure.collect()} == {("document", "require"): (2, "OBSERVED"), ("test", "require"): (2, "OBSERVED"), ("code_doc", "require"): (2, "OBSERVED"), ("code_guard", "bypass"): (1, "INFERRED"), ("document", "bypass"): (1, "INFERRED")}
     assert {(r.documented, r.observed, r.shared) for r in rules.conflicts(sure).collect()} == {("rule:0", "rule:1", 3), ("rule:3", "rule:4", 2)}
+
+
+def test_dump_has_edges_and_is_whole(spark, tmp_path):
+    write_tables(spark, tmp_path)
+    lines = [r.line for r in core.queries()["canonical_dump"](spark, f"file://{tmp_path}").collect()]
+    assert lines == sorted(lines) and sum(x.startswith("N\t") for x in lines) == 4
+    assert "E\tfile:app/order.py\tfile:tests/test_order.py\tCO_CHANGES_WITH\tOBSERVED\t0.5500" in lines
+    assert [r["id"] for r in _rows(spark.range(2500).selectExpr("cast(id as int) as id").orderBy("id"))] == list(range(2500))
