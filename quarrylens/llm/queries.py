@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "p9_mixture": lambda s, d: mixture.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p9_shares": lambda s, d: mixture.shares(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p10_found": lambda s, d: repetition.found(table(s, d, "documents")),
+        "p10_recall": lambda s, d: repetition.recall(table(s, d, "documents")),
     }
 
 

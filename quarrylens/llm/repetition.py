@@ -1,10 +1,11 @@
-"""Repetition inside a document: rule statistics, an isolation forest over them, an exact check.
-
-The statistics of a text are shares of it that repeat earlier parts (runs of words,
-sentences, lines, character shares of frequent short runs). An isolation forest fitted on
-a bounded sample turns them into a score from path lengths over random splits; the
-threshold is calibrated on the rows of the sample, labelled by the definition itself, and
-lowered to the least score of any case of the whole input. Rows above it go to the exact check.
+"""Repetition inside a document: cheap statistics, an isolation forest over them, an exact check.
+
+The statistics of a text are shares of it that repeat earlier parts (short runs of words,
+sentences, lines, paragraphs). An isolation forest fitted on a bounded sample of ordinary
+rows turns them into a score from path lengths over random splits; the threshold is
+calibrated on the labelled rows of the sample that the forest has not seen. What lies above
+it goes to the exact check, and so does every text whose share may still reach the limit:
+runs of three words that stood earlier cover at least what runs of six do.
 """
 
 from __future__ import annotations
@@ -19,14 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.runtime import cut, pick
+from quarrylens.runtime import parallel, pick
 
 #: Words in a run that counts as repeated, and letters of a script without word spaces that stand for it.
 RUN_WORDS, RUN_LETTERS = 6, 20
-STATISTICS = [
-    "repeat_share", "repeat3_share", "repeat10_share", "repeat_sentence_share", "repeat_line_share",
-    "repeat_paragraph_share", "top2_share", "top3_share", "top4_share", "word_variety_loss",
-]
+#: Words of the short runs whose share bounds that of the full runs from above.
+SHORT_WORDS = 3
+STATISTICS = ["short_share", "repeat_sentence_share", "repeat_line_share", "repeat_paragraph_share", "top2_share", "word_variety_loss"]
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _UNSPACED = regex.compile(r"\p{Thai}")
 _LETTER = regex.compile(r"\p{L}")
@@ -113,43 +113,32 @@ def _top_share(words: list[str], n: int, total: int) -> float:
     return min(1.0, count * sum(map(len, run)) / total) if count > 1 else 0.0
 
 
-def statistics(text: str | None) -> list[float]:
-    """The statistics of one text, each in [0, 1]; all 0 for null, empty and wordless texts."""
-    if not text:
-        return [0.0] * len(STATISTICS)
-    words, letters = units(text)
+def run_share(words: list[str], letters: list[str], n: int) -> float:
+    """The share of a text that stands in runs of n words (or as many letters as stand for them) that stood earlier."""
     weight = RUN_WORDS / RUN_LETTERS
     size = len(words) + weight * len(letters)
-    if not size:
-        return [0.0] * len(STATISTICS)
+    return (repeated(words, n) + weight * repeated(letters, round(n / weight))) / size if size else 0.0
 
-    def share(n: int) -> float:
-        return (repeated(words, n) + weight * repeated(letters, round(n / weight))) / size
 
-    chars = sum(map(len, words))
+def repeat_share(text: str | None) -> float:
+    """The exact share of a text that repeats earlier runs of it; 0 for null, empty and wordless texts."""
+    return run_share(*units(text), RUN_WORDS) if text else 0.0
+
+
+def statistics(text: str | None, words: list[str], letters: list[str]) -> list[float]:
+    """The statistics of one text, each in [0, 1], from its units; all 0 for null, empty and wordless texts."""
+    if not text or not (words or letters):
+        return [0.0] * len(STATISTICS)
     return [
-        share(RUN_WORDS), share(3), share(10),
+        run_share(words, letters, SHORT_WORDS),
         _repeated_parts(_SENTENCE.split(text), len(text)),
         _repeated_parts(text.splitlines(), len(text)),
         _repeated_parts(text.replace("\r\n", "\n").split("\n\n"), len(text)),
-        *(_top_share(words, n, chars) for n in (2, 3, 4)),
+        _top_share(words, 2, sum(map(len, words))),
         1 - len(set(words)) / len(words) if words else 0.0,
     ]
 
 
-def repetition_statistics(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, statistics...) of every row, over its whole text."""
-    rows = pick(documents, **{id_column: id_column, "__text": text_column})
-    kind = rows.schema[id_column].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([statistics(t) for t in batch.column(1).to_pylist()], float).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k]) for k in range(len(STATISTICS)))], [id_column, *STATISTICS])
-
-    return rows.mapInArrow(run, f"`{id_column}` {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
-
-
 def _average_path(n: float) -> float:
     """Mean path of an unsuccessful search among n rows."""
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
@@ -199,42 +188,90 @@ class IsolationForest:
 
 def calibrate(forest: IsolationForest, rows: np.ndarray, labels: np.ndarray) -> float:
     """A threshold under every labelled case: halfway from their least score to the median of the rest."""
-    scores = forest.score(rows)
     if not labels.any():
         return 0.0
+    scores = forest.score(rows)
     least = scores[labels].min()
     rest = np.median(scores[~labels]) if (~labels).any() else 0.0
     return float(least - max(0.0, least - rest) / 2)
 
 
-def score(statistics_rows: DataFrame, share: float = 0.4, fit_rows: int = 5000, trees: int = 100, seed: int = 7) -> DataFrame:
-    """Adds ``score`` and ``above`` (score at or over the calibrated threshold) to the statistics.
+#: Rows a forest is fitted and calibrated on at most; twice as many where a hash spreads them unevenly.
+FIT_ROWS = 5000
+#: Share of a text that must repeat for it to be a case.
+CASE_SHARE = 0.4
+_SAMPLE_PARTS = 1 << 20
 
-    The forest is fitted on at most ``fit_rows`` rows, taken evenly by a hash of the row;
-    the same rows, labelled by ``repeat_share >= share``, set the threshold, which the least
-    score of all labelled rows lowers, so no case lies under it. Without any labelled case in
-    the sample every row is above it. An empty input stays empty.
+
+def fit(documents: DataFrame, text_column: str = "text", share: float = CASE_SHARE, fit_rows: int = FIT_ROWS, trees: int = 100, seed: int = 7) -> tuple[IsolationForest | None, float]:
+    """(forest, threshold) from about ``fit_rows`` rows, taken evenly by a hash of their text.
+
+    The rows are labelled by the definition. The forest grows on ordinary rows of one half,
+    the threshold lies under every case of the other half and of its own. Without ordinary
+    rows there is no forest, without cases the threshold is 0: then every row is above it.
     """
-    sample = statistics_rows.select(*STATISTICS).orderBy(F.xxhash64(*statistics_rows.columns)).limit(fit_rows)
-    rows = np.array([tuple(r) for r in sample.collect()], float).reshape(-1, len(STATISTICS))
-    if len(rows) == 0:
-        return statistics_rows.withColumn("score", F.lit(0.0)).withColumn("above", F.lit(True))
-    forest = IsolationForest(rows, trees=trees, seed=seed)
-    threshold = calibrate(forest, rows, rows[:, 0] >= share)
-    names = statistics_rows.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in statistics_rows.schema.fields)
+    rows = pick(documents, __text=text_column).where("__text is not null")
+    parts = F.pmod(F.xxhash64("__text"), F.lit(_SAMPLE_PARTS))
+    kept = parts < F.lit(min(_SAMPLE_PARTS, -(-fit_rows * _SAMPLE_PARTS // max(1, rows.count()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = np.column_stack([batch.column(names.index(s)).to_numpy(zero_copy_only=False) for s in STATISTICS])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.score(table))], [*names, "score"])
-
-    scored = cut(statistics_rows.mapInArrow(run, f"{fields}, score double"))
-    least = scored.where(F.col("repeat_share") >= share).agg(F.min("score")).first()[0]
-    return scored.withColumn("above", F.col("score") >= F.lit(threshold if least is None else min(threshold, least)))
-
+            found = []
+            for t in batch.column(0).to_pylist():
+                own = units(t)
+                found.append([*statistics(t, *own), run_share(*own, RUN_WORDS)])
+            table = np.array(found, float).reshape(-1, len(STATISTICS) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in range(table.shape[1])], [*STATISTICS, "share"])
+
+    labelled = rows.where(kept).limit(2 * fit_rows).mapInArrow(run, ", ".join(f"{c} double" for c in [*STATISTICS, "share"]))
+    table = np.array([tuple(r) for r in labelled.collect()], float).reshape(-1, len(STATISTICS) + 1)  # 2 * fit_rows rows of numbers
+    table = table[np.lexsort(table.T)]
+    cases = table[:, -1] >= share
+    seen = np.arange(len(table)) % 2 == 0
+    if not (seen & ~cases).any():
+        return None, 0.0
+    forest = IsolationForest(table[seen & ~cases][:, :-1], trees=trees, seed=seed)
+    held = ~seen | cases
+    return forest, calibrate(forest, table[held][:, :-1], cases[held])
+
+
+def judge(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", share: float = CASE_SHARE, fit_rows: int = FIT_ROWS, seed: int = 7) -> DataFrame:
+    """(id, statistics..., score, above, possible, repeat_share) of every row, over its whole text.
+
+    ``above`` is the forest's word: score at or over the threshold. ``possible`` says that the
+    short runs do not rule out a share of ``share``. ``repeat_share`` is exact for rows that are
+    either, and null for the others, whose share is under ``share`` for certain. Null, empty and
+    wordless texts repeat nothing. Repeated rows come out repeated, an empty input stays empty.
+    """
+    forest, threshold = fit(documents, text_column, share, fit_rows, seed=seed)
+    rows = parallel(pick(documents, **{id_column: id_column, "__text": text_column}))
+    kind = rows.schema[id_column].dataType.simpleString()
+    names = [id_column, *STATISTICS, "score", "above", "possible", "repeat_share"]
 
-def found(documents: DataFrame, share: float = 0.4) -> DataFrame:
-    """(doc_id) of the texts of whose words ``share`` or more repeat earlier runs."""
-    scored = score(cut(repetition_statistics(documents)), share)
-    return scored.where(F.col("above") & (F.col("repeat_share") >= share)).select("doc_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            own = [units(t) if t else ([], []) for t in texts]
+            table = np.array([statistics(t, *u) for t, u in zip(texts, own)], float).reshape(-1, len(STATISTICS))
+            scores = forest.score(table) if forest else np.ones(len(table))
+            above, possible = scores >= threshold, table[:, 0] >= share
+            exact = [run_share(*u, RUN_WORDS) if a or p else None for u, a, p in zip(own, above, possible)]
+            columns = [batch.column(0), *(pa.array(table[:, k]) for k in range(table.shape[1])), pa.array(scores), pa.array(above), pa.array(possible), pa.array(exact, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    fields = ", ".join(f"{c} double" for c in [*STATISTICS, "score"])
+    return rows.mapInArrow(run, f"`{id_column}` {kind}, {fields}, above boolean, possible boolean, repeat_share double")
+
+
+def found(documents: DataFrame, share: float = CASE_SHARE, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id) of the texts of whose words ``share`` or more repeat earlier runs; repeated rows come out repeated."""
+    return judge(documents, share=share, fit_rows=fit_rows).where((F.col("above") | F.col("possible")) & (F.col("repeat_share") >= share)).select("doc_id")
+
+
+def recall(documents: DataFrame, share: float = CASE_SHARE) -> DataFrame:
+    """One row: texts, cases, above (rows over the forest's threshold), above_cases and forest_recall over the whole input."""
+    judged = judge(documents, share=share).withColumn("case", F.coalesce(F.col("repeat_share") >= share, F.lit(False)))
+    counted = judged.agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if("case").alias("cases"), F.count_if("above").alias("above"), F.count_if(F.col("case") & F.col("above")).alias("above_cases")
+    )
+    return counted.withColumn("forest_recall", F.when(F.col("cases") > 0, F.round(F.col("above_cases") / F.col("cases"), 6)))

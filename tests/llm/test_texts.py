@@ -105,16 +105,29 @@ def test_found_repetition(spark):
 
 
 def test_no_case_outside_the_sample_is_lost(spark):
+    """Plain, nearly repeating and extreme texts teach the forest; texts just over the limit, unlike all of them, still come out."""
     import random
 
     rng = random.Random(3)
-    size = len(repetition.STATISTICS) - 1
-    rows = [(i, rng.random() * 0.3, *[rng.random() * 0.3 for _ in range(size)]) for i in range(1000)]
-    rows += [(2000 + i, 0.9 + rng.random() / 10, *[0.9 + rng.random() / 10 for _ in range(size)]) for i in range(30)]
-    rows.append((3001, 0.41, *[0.15] * size))
-    frame = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} double" for c in repetition.STATISTICS))
-    kept = repetition.score(frame, fit_rows=200).where("above and repeat_share >= 0.4").collect()
-    assert {r.doc_id for r in kept} == {*range(2000, 2030), 3001}
+    letters = "abdefgiklmnoprstuv"
+    word = lambda: "".join(rng.choice(letters) for _ in range(6))
+    plain = lambda n: [word() for _ in range(n)]
+
+    def shared(n, k):
+        """n words of which about k repeat, scattered in runs of six."""
+        own = plain(n - k)
+        return " ".join(own + [w for i in range(0, k, 6) for w in own[7 * i // 6 : 7 * i // 6 + 6]])
+
+    texts = [(i, " ".join(plain(60))) for i in range(250)] + [(1000 + i, shared(100, 36)) for i in range(240)]
+    texts += [(2000 + i, " ".join(plain(6) * 30)) for i in range(5)] + [(3000 + i, shared(100, 42)) for i in range(30)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    truth = {i for i, t in texts if repetition.repeat_share(t) >= 0.4}
+    assert truth >= {3000, 2000} and len(truth) == 35
+    for fit_rows in (20, 5000):
+        assert {r.doc_id for r in repetition.found(frame, fit_rows=fit_rows).collect()} == truth
+    judged = repetition.judge(frame, fit_rows=50).collect()
+    assert all(r.short_share >= repetition.repeat_share(t) for r, (_, t) in zip(sorted(judged, key=lambda r: r.doc_id), texts))
+    assert repetition.recall(frame).first().cases == 35
 
 
 def test_isolation_finds_the_odd_rows():
