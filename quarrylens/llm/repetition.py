@@ -11,6 +11,7 @@ runs of three words that stood earlier cover at least what runs of six do.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,18 +29,23 @@ RUN_WORDS, RUN_LETTERS = 6, 20
 SHORT_WORDS = 3
 STATISTICS = ["short_share", "repeat_sentence_share", "repeat_line_share", "repeat_paragraph_share", "top2_share", "word_variety_loss"]
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
+_ASCII_WORD = re.compile(r"[a-z]+")
 _UNSPACED = regex.compile(r"\p{Thai}")
 _LETTER = regex.compile(r"\p{L}")
-_SENTENCE = regex.compile(r"[.!?;\n]+")
+_SENTENCE = re.compile(r"[.!?;\n]+")
 #: Texts with more units than this are compared by sorted number arrays instead of dictionaries.
 LARGE = 20_000
 
 
 def units(text: str) -> tuple[list[str], list[str]]:
     """The words of a text in lower case, and the letters of its stretches in an unspaced script."""
+    low = text.lower()
+    found = _ASCII_WORD.findall(low) if low.isascii() else _WORD.findall(low)
+    if low.isascii() or not _UNSPACED.search(low):
+        return found, []
     words: list[str] = []
     letters: list[str] = []
-    for w in _WORD.findall(text.lower()):
+    for w in found:
         if _UNSPACED.search(w):
             letters += _LETTER.findall(w)
         else:
