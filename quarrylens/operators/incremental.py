@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylens.runtime import pick, unclash
+from quarrylens.runtime import cut, pick, scratch_path, unclash
 
 
 def normal_path(path: Column) -> Column:
@@ -77,73 +77,78 @@ def run_listing(files: DataFrame) -> DataFrame:
     )
 
 
-def replay_changes(files: DataFrame, index_runs: DataFrame) -> DataFrame:
+def replay_changes(files: DataFrame, index_runs: DataFrame, root: str | None = None) -> DataFrame:
     """(run_id, path) new or changed in each succeeded run since the succeeded run before it.
 
-    The listing of a run is at once its source and, tagged with the run that follows, the
-    state that run reads; one anti-join therefore replays every run of every repository.
-    The first succeeded run of a repository has no state and gives no rows.
+    The runs are processed as they came: the k-th succeeded run of every repository is one
+    ``sync`` of an ``IncrementalTarget`` that holds, for each path of a repository, the hash
+    that was processed last. A path that a run no longer lists leaves the target, so it is new
+    when it returns. Each sync publishes one version; the rows are what the versions added
+    or changed. The first succeeded run of a repository fills the target and gives no rows.
+    With ``root`` the target is kept there: a replay that died goes on behind the last round
+    it published, without skipping or repeating one.
     """
-    runs = succeeded_runs(index_runs)
-    listing = run_listing(files)
-    source = listing.join(runs.where("seq > 1").select("run_id"), "run_id")
-    state = (
-        listing.join(runs.where("next_run_id is not null").select("run_id", "next_run_id"), "run_id")
-        .select(F.col("next_run_id").alias("run_id"), "path", "hash")
-    )
-    return new_or_changed(source, state, ["run_id", "path"], "hash").select("run_id", "path")
+    spark = files.sparkSession
+    runs = cut(succeeded_runs(index_runs))
+    rounds = runs.agg(F.max("seq")).first()[0] or 0
+    listed = scratch_path(spark, "listing")
+    listing = run_listing(files).join(runs.select("run_id", "repo", "seq"), "run_id")
+    listing.write.partitionBy("seq").parquet(listed)
+    schema = "run_id long, path string, hash string, repo string, seq int"
+    target = IncrementalTarget(spark, root or scratch_path(spark, "target"), ["repo", "path"], "hash")
+    for k in range((target.note() or 0) + 1, rounds + 1):
+        source = spark.read.schema(schema).parquet(listed).where(F.col("seq") == k).select("repo", "path", "hash", "run_id", "seq")
+        target.sync(source, complete=runs.where(F.col("seq") == k).select("repo"), note=k)
+    changed = target.changes()
+    if changed is None:
+        return spark.createDataFrame([], "run_id long, path string")
+    return changed.where("_change <> 'gone' and seq > 1").select("run_id", "path")
 
 
 #: Columns a target adds; source columns of these names, and those that differ from others in letter case only, are renamed.
-RESERVED = ("_kept", "_source_version", "_segment", "_newest", "_r")
+RESERVED = ("_change", "_kept", "_known", "_made", "_source_version", "_segment", "_newest", "_r")
 
 
 class PublishConflict(RuntimeError):
     """Another run published the version this run was about to publish."""
 
 
-class IncrementalTarget:
-    """A versioned table of outputs that is its own processing state.
-
-    ``root`` lies in a folder all executors share. Each run writes one segment of
-    Parquet files under a fresh name and then renames a manifest listing all live
-    segments to ``v<N>.json``; the rename is refused if N exists. Until then
-    readers and later runs see the version before. Segments that no manifest lists
-    (from failed runs) are never read.
+class VersionLog:
+    """Numbered JSON manifests under ``root``/manifests; the greatest number is the current state.
 
-    Source rows: one per key is kept (greatest version), so repeated rows do no harm.
-    ``transform`` gets the new or changed rows and must keep the key columns; source
-    records for which it returns nothing are remembered by a row with ``_kept`` false,
-    so they are not tried again until they change.
+    A manifest is written under a fresh name and renamed to ``v<N>.json``; the rename is refused
+    if N exists. This needs a file system whose rename is atomic and can refuse to overwrite
+    (HDFS, a shared POSIX folder); object stores without a conditional put do not give it.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], version: str):
-        self.spark, self.root, self.keys, self.version = spark, root.rstrip("/"), list(keys), version
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         conf = spark._jsc.hadoopConfiguration()
         self._fs = self._path(self.root).getFileSystem(conf)
         self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), conf)
 
-    def _manifest(self) -> tuple[int, list[str]]:
+    def current(self) -> tuple[int, dict]:
+        """(number, manifest) of the current version, (0, {}) before the first."""
         folder = self._path(f"{self.root}/manifests")
         if not self._fs.exists(folder):
-            return 0, []
+            return 0, {}
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         number = max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
-        if not number:
-            return 0, []
+        return number, self.read(number) if number else {}
+
+    def read(self, number: int) -> dict:
         stream = self._fs.open(self._path(f"{self.root}/manifests/v{number}.json"))
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return number, json.loads(text)["segments"]
 
-    def _publish(self, number: int, segments: list[str]) -> None:
+    def publish(self, number: int, manifest: dict) -> None:
         staged = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}.tmp")
         out = self._fs.create(staged, True)
-        out.write(bytearray(json.dumps({"segments": segments}).encode()))
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
         options = self.spark.sparkContext._gateway.new_array(getattr(self.spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
         try:
@@ -152,70 +157,165 @@ class IncrementalTarget:
             self._fs.delete(staged, False)
             raise PublishConflict(f"version {number} exists already") from e
 
-    def _rows(self, segments: list[str]) -> DataFrame | None:
+    def delete(self, relative: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{relative}"), True)
+
+
+class IncrementalTarget:
+    """A versioned table of outputs that is its own processing state.
+
+    ``root`` lies in a folder all executors share. Each sync writes one segment of Parquet
+    files under a fresh name and then publishes a manifest of the live segments; until then
+    readers and later runs see the version before. Segments that no manifest lists (from
+    failed runs) are never read.
+
+    ``version`` only says whether a record changed. Of several source rows of one key the one
+    with the greatest ``order`` value counts (ties, and targets without ``order``: the
+    greatest row by version and then by the other columns); a key that the target holds with
+    a later ``order`` value than the source is not set back. ``transform`` gets the new or
+    changed rows and must keep the key columns; source records for which it returns nothing
+    are remembered by a row with ``_change`` 'none', so they are not tried again until they
+    change. Null keys and versions are values like others.
+
+    Segments are merged into one when there are more than ``MOST_SEGMENTS``, or when those
+    after the first hold more rows than half of it, so a sync reads at most about twice the
+    live rows and each row is rewritten a number of times that grows as the logarithm of all.
+    """
+
+    MOST_SEGMENTS = 8
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], version: str, order: str | None = None):
+        self.spark, self.root, self.keys, self.version, self.order = spark, root.rstrip("/"), list(keys), version, order
+        self.log = VersionLog(spark, root)
+
+    def _same(self, left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+        match = F.lit(True)
+        for k in names:
+            match = match & left[k].eqNullSafe(right[k])
+        return match
+
+    def _segments(self, segments: list[list]) -> DataFrame | None:
         if not segments:
             return None
-        order = {s: i for i, s in enumerate(segments)}
-        parts = [self.spark.read.parquet(f"{self.root}/{s}").withColumn("_segment", F.lit(order[s])) for s in segments]
+        parts = [self.spark.read.parquet(f"{self.root}/{path}").withColumn("_segment", F.lit(k)) for k, (path, _) in enumerate(segments)]
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p, allowMissingColumns=True)
+        return rows
+
+    def _live(self, segments: list[list]) -> DataFrame | None:
+        """The rows of the newest segment of each key that are not gone."""
+        rows = self._segments(segments)
+        if rows is None or len(segments) == 1:
+            return None if rows is None else rows.where("_change <> 'gone'").drop("_segment")
         newest = rows.groupBy(*self.keys).agg(F.max("_segment").alias("_newest"))
-        match = F.col("_segment") == F.col("_newest")
-        for k in self.keys:
-            match = match & rows[k].eqNullSafe(newest[k])
-        return rows.join(newest, match, "left_semi").drop("_segment")
+        match = self._same(rows, newest, self.keys) & (rows["_segment"] == newest["_newest"])
+        return rows.where("_change <> 'gone'").join(newest, match, "left_semi").drop("_segment")
+
+    def _state(self, segments: list[list]) -> DataFrame | None:
+        """(keys, version[, order]) of each live key: one aggregate over the key columns of the segments."""
+        rows = self._segments(segments)
+        if rows is None:
+            return None
+        own = [F.col("_source_version").alias(self.version), *([F.col(f"_source_{self.order}").alias(self.order)] if self.order else [])]
+        last = rows.groupBy(*self.keys).agg(F.max(F.struct("_segment", "_change", *own)).alias("_r"))
+        return last.where("_r._change <> 'gone'").select(*self.keys, f"_r.{self.version}", *([f"_r.{self.order}"] if self.order else []))
+
+    def note(self):
+        """What the last sync left as its note."""
+        return self.log.current()[1].get("note")
 
     def read(self) -> DataFrame | None:
         """Outputs of the current version, or None before the first."""
-        rows = self._rows(self._manifest()[1])
-        return None if rows is None else rows.where("_kept").drop("_kept", "_source_version")
+        rows = self._live(self.log.current()[1].get("segments", []))
+        return None if rows is None else rows.where("_change <> 'none'").drop(*self._own())
+
+    def _own(self) -> list[str]:
+        return ["_change", "_source_version", *([f"_source_{self.order}"] if self.order else [])]
+
+    def changes(self, since: int = 0) -> DataFrame | None:
+        """The rows of all versions after ``since``, with ``_change``: new, changed, none (no output) or gone."""
+        deltas = [self.log.read(n).get("delta") for n in range(since + 1, self.log.current()[0] + 1)]
+        return self._segments([[d, 0] for d in deltas if d])
 
     def pending(self, source: DataFrame) -> DataFrame:
         """Rows of the source that the next ``sync`` would process."""
-        return self._pending(source, self._rows(self._manifest()[1]))
+        return self._pending(source, self._state(self.log.current()[1].get("segments", []))).drop("_change")
 
-    def _pending(self, source: DataFrame, rows: DataFrame | None) -> DataFrame:
+    def _one(self, source: DataFrame) -> DataFrame:
         source = unclash(source, RESERVED)
-        names = [c for c in source.columns if c not in (*self.keys, self.version)]
-        one = source.groupBy(*self.keys).agg(F.max(F.struct(self.version, *names)).alias("_r")).select(*self.keys, "_r.*")
-        if rows is None:
-            return one
-        state = rows.select(*self.keys, F.col("_source_version").alias(self.version)).distinct()
-        return new_or_changed(one, state, self.keys, self.version)
-
-    def sync(self, source: DataFrame, transform: Callable[[DataFrame], DataFrame] | None = None) -> int:
-        """Process what is new or changed and publish it; returns the current version number."""
-        number, segments = self._manifest()
-        todo = self._pending(source, self._rows(segments))
-        out = transform(todo) if transform else todo
-        marks = todo.select(*[F.col(k).alias(f"_m_{k}") for k in self.keys], F.col(self.version).alias("_source_version"))
-        match = None
-        for k in self.keys:
-            same = out[k].eqNullSafe(marks[f"_m_{k}"])
-            match = same if match is None else match & same
-        body = [c for c in out.columns if c not in self.keys]
-        joined = marks.join(out.withColumn("_kept", F.lit(True)), match, "left").select(
-            *[F.col(f"_m_{k}").alias(k) for k in self.keys],
-            *body,
-            "_source_version",
-            F.coalesce("_kept", F.lit(False)).alias("_kept"),
-        )
-        segment = f"segments/{uuid.uuid4().hex}"
-        joined.write.parquet(f"{self.root}/{segment}")
-        if self.spark.read.parquet(f"{self.root}/{segment}").isEmpty():
-            self._fs.delete(self._path(f"{self.root}/{segment}"), True)
+        first = [*([self.order] if self.order else []), self.version]
+        names = [c for c in source.columns if c not in (*self.keys, *first)]
+        return source.groupBy(*self.keys).agg(F.max(F.struct(*first, *names)).alias("_r")).select(*self.keys, "_r.*")
+
+    def _pending(self, source: DataFrame, state: DataFrame | None) -> DataFrame:
+        one = self._one(source)
+        if state is None:
+            return one.withColumn("_change", F.lit("new"))
+        todo = new_or_changed(one, state, self.keys, self.version)
+        known = state.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)], F.lit("changed").alias("_change"), *([F.col(self.order).alias("_known")] if self.order else []))
+        match = F.lit(True)
+        for i, k in enumerate(self.keys):
+            match = match & todo[k].eqNullSafe(known[f"_k{i}"])
+        todo = todo.join(known, match, "left").drop(*[f"_k{i}" for i in range(len(self.keys))]).withColumn("_change", F.coalesce("_change", F.lit("new")))
+        if self.order:
+            todo = todo.where(F.col("_known").isNull() | (F.col(self.order) >= F.col("_known"))).drop("_known")
+        return todo
+
+    def sync(self, source: DataFrame, transform: Callable[[DataFrame], DataFrame] | None = None, complete: DataFrame | bool = False, note=None) -> int:
+        """Process what is new or changed and publish it; returns the current version number.
+
+        ``complete`` says that the source lists all there is: of everything (True), or of the
+        values of the key columns that the frame given holds. Keys of that extent which the
+        source lacks leave the target and count as new if they return. ``note`` is kept in the
+        manifest.
+        """
+        number, manifest = self.log.current()
+        segments = manifest.get("segments", [])
+        state = self._state(segments)
+        todo = self._pending(source, state)
+        marks = [F.col(self.version).alias("_source_version"), *([F.col(self.order).alias(f"_source_{self.order}")] if self.order else [])]
+        if transform is None:
+            out = todo.select("*", *marks)
+        else:
+            todo = cut(todo)
+            made = transform(todo.drop("_change"))
+            marked = todo.select(*self.keys, "_change", *marks)
+            body = [c for c in made.columns if c not in self.keys]
+            made = made.withColumn("_made", F.lit(True))
+            out = marked.join(made, self._same(marked, made, self.keys), "left").select(
+                *[marked[k] for k in self.keys], *body, F.when(F.col("_made"), F.col("_change")).otherwise(F.lit("none")).alias("_change"), *[marked[c] for c in self._own()[1:]]
+            )
+        if state is not None and complete is not False:
+            extent = state if complete is True else state.join(complete.dropDuplicates(), self._same(state, complete, complete.columns), "left_semi")
+            one = unclash(source, RESERVED).select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(self.keys)])
+            match = F.lit(True)
+            for i, k in enumerate(self.keys):
+                match = match & extent[k].eqNullSafe(one[f"_s{i}"])
+            gone = extent.join(one, match, "left_anti")
+            out = out.unionByName(gone.select(*self.keys, *marks, F.lit("gone").alias("_change")), allowMissingColumns=True)
+        delta = f"segments/{uuid.uuid4().hex}"
+        out.write.parquet(f"{self.root}/{delta}")
+        rows = self.spark.read.parquet(f"{self.root}/{delta}").count()
+        if not rows:
+            self.log.delete(delta)
             return number
-        self._publish(number + 1, [*segments, segment])
+        live = [*segments, [delta, rows]]
+        if len(live) > self.MOST_SEGMENTS or len(live) > 2 and sum(n for _, n in live[1:]) > live[0][1] / 2:
+            live = [self._merged(live)]
+        self.log.publish(number + 1, {"segments": live, "delta": delta, "note": note})
         return number + 1
 
+    def _merged(self, segments: list[list]) -> list:
+        path = f"segments/{uuid.uuid4().hex}"
+        self._live(segments).write.parquet(f"{self.root}/{path}")
+        return [path, self.spark.read.parquet(f"{self.root}/{path}").count()]
+
     def compact(self) -> int:
         """Rewrite the live rows as one segment under a new version."""
-        number, segments = self._manifest()
-        rows = self._rows(segments)
-        if rows is None or len(segments) == 1:
+        number, manifest = self.log.current()
+        segments = manifest.get("segments", [])
+        if len(segments) < 2:
             return number
-        segment = f"segments/{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{segment}")
-        self._publish(number + 1, [segment])
+        self.log.publish(number + 1, {"segments": [self._merged(segments)], "note": manifest.get("note")})
         return number + 1

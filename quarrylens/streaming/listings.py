@@ -14,7 +14,10 @@ from quarrylens.operators.incremental import IncrementalTarget, normal_path
 
 
 def keep_current(stream: DataFrame, target: IncrementalTarget, checkpoint: str, transform=None) -> StreamingQuery:
-    """Feed a stream of listings (repo, path, hash, ...) into a target; a batch that is run again adds nothing."""
+    """Feed a stream of listings (repo, path, hash, listed_at, ...) into a target; a batch that is run again adds nothing.
+
+    The target should be made with ``order="listed_at"``, so that late rows never set a path back.
+    """
 
     def apply(batch: DataFrame, _: int) -> None:
         target.sync(batch.withColumn("path", normal_path(F.col("path"))).withColumn("hash", F.lower("hash")), transform)

@@ -78,15 +78,64 @@ def test_clashing_columns_are_kept_under_other_names(spark, tmp_path):
 def test_a_failed_run_leaves_the_version_before(spark, tmp_path):
     t = target(spark, tmp_path)
     t.sync(frame(spark, [(1, "a", 1)]))
-    publish, t._publish = t._publish, lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    publish, t.log.publish = t.log.publish, lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
     with pytest.raises(RuntimeError):
         t.sync(frame(spark, [(2, "b", 2)]))
-    t._publish = publish
+    t.log.publish = publish
     assert [r.k for r in t.read().collect()] == [1]
     assert t.sync(frame(spark, [(2, "b", 2)])) == 2
     assert sorted(r.k for r in t.read().collect()) == [1, 2]
     with pytest.raises(PublishConflict):
-        t._publish(2, [])
+        t.log.publish(2, {})
+
+
+def test_the_later_row_counts_whatever_its_hash(spark, tmp_path):
+    t = IncrementalTarget(spark, f"file://{tmp_path}/target", ["k"], "v", order="at")
+    rows = lambda *r: spark.createDataFrame(r, "k int, v string, at int")
+    t.sync(rows((1, "f0", 1), (1, "00", 2), (2, "a", 5)))
+    assert {(r.k, r.v) for r in t.read().collect()} == {(1, "00"), (2, "a")}
+    t.sync(rows((1, "ff", 1), (2, "b", 6)))
+    assert {(r.k, r.v) for r in t.read().collect()} == {(1, "00"), (2, "b")}
+
+
+def test_removed_keys_leave_and_return_as_new(spark, tmp_path):
+    t = IncrementalTarget(spark, f"file://{tmp_path}/target", ["g", "k"], "v")
+    rows = lambda *r: spark.createDataFrame(r, "g string, k int, v string")
+    scope = lambda *g: spark.createDataFrame([(x,) for x in g], "g string")
+    t.sync(rows(("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z"), (None, 1, "n")), complete=True)
+    t.sync(rows(("a", 1, "x")), complete=scope("a"))
+    assert {(r.g, r.k) for r in t.read().collect()} == {("a", 1), ("b", 1), (None, 1)}
+    t.sync(rows(("a", 1, "x"), ("a", 2, "y")), complete=scope("a"))
+    assert [(r.k, r._change) for r in t.changes(2).collect()] == [(2, "new")]
+    t.sync(rows(), complete=scope("b", None))
+    assert {(r.g, r.k) for r in t.read().collect()} == {("a", 1), ("a", 2)}
+    t.sync(rows(), complete=True)
+    assert t.read().count() == 0
+
+
+def test_segments_are_merged_by_rule(spark, tmp_path):
+    t = target(spark, tmp_path)
+    for k in range(6):
+        t.sync(frame(spark, [(i, f"{k}" if i == k else "same", i) for i in range(20)]))
+        assert len(t.log.current()[1]["segments"]) <= t.MOST_SEGMENTS
+    t.sync(frame(spark, [(i, "other", i) for i in range(20)]))
+    assert len(t.log.current()[1]["segments"]) == 1 and t.read().count() == 20
+
+
+def test_a_replay_that_died_goes_on(spark, tmp_path, monkeypatch):
+    runs = [(k, "r", ts(2 * k), ts(2 * k + 1), "ok", ts(2 * k + 1)) for k in range(1, 5)] + [(9, "q", ts(0), ts(1), "ok", ts(1))]
+    listed = {1: {"a": "1", "b": "1"}, 2: {"a": "1"}, 3: {"a": "2", "b": "1"}, 4: {"a": "2", "b": "1", "c": "1"}}
+    files = [("r", k, p, h, ts(2 * k)) for k, own in listed.items() for p, h in own.items()] + [("q", 9, "z", "z", ts(0))]
+    f, r = frames(spark, files, runs)
+    root = f"file://{tmp_path}/replay"
+    sync = IncrementalTarget.sync
+    monkeypatch.setattr(IncrementalTarget, "sync", lambda self, *a, note=None, **k: (_ for _ in ()).throw(RuntimeError("lost")) if note == 3 else sync(self, *a, note=note, **k))
+    with pytest.raises(RuntimeError):
+        replay_changes(f, r, root)
+    monkeypatch.setattr(IncrementalTarget, "sync", sync)
+    expected = {(3, "a"), (3, "b"), (4, "c")}
+    assert sorted(map(tuple, replay_changes(f, r, root).collect())) == sorted(expected)
+    assert {tuple(x) for x in replay_changes(f, r).collect()} == expected
 
 
 def test_random_edits_reach_the_same_state_as_one_full_run(spark, tmp_path):
