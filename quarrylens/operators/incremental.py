@@ -106,7 +106,7 @@ def replay_changes(files: DataFrame, index_runs: DataFrame, root: str | None = N
 
 
 #: Columns a target adds; source columns of these names, and those that differ from others in letter case only, are renamed.
-RESERVED = ("_change", "_kept", "_known", "_made", "_source_version", "_segment", "_newest", "_r")
+RESERVED = ("_change", "_version", "_kept", "_known", "_made", "_source_version", "_segment", "_newest", "_r")
 
 
 class PublishConflict(RuntimeError):
@@ -252,12 +252,13 @@ class IncrementalTarget:
         one = self._one(source)
         if state is None:
             return one.withColumn("_change", F.lit("new"))
-        todo = new_or_changed(one, state, self.keys, self.version)
-        known = state.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)], F.lit("changed").alias("_change"), *([F.col(self.order).alias("_known")] if self.order else []))
+        own = [F.col(self.version).alias("_version"), F.lit("changed").alias("_change"), *([F.col(self.order).alias("_known")] if self.order else [])]
+        known = state.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)], *own)
         match = F.lit(True)
         for i, k in enumerate(self.keys):
-            match = match & todo[k].eqNullSafe(known[f"_k{i}"])
-        todo = todo.join(known, match, "left").drop(*[f"_k{i}" for i in range(len(self.keys))]).withColumn("_change", F.coalesce("_change", F.lit("new")))
+            match = match & one[k].eqNullSafe(known[f"_k{i}"])
+        todo = one.join(known, match, "left").where(F.col("_change").isNull() | ~F.col(self.version).eqNullSafe(F.col("_version")))
+        todo = todo.drop("_version", *[f"_k{i}" for i in range(len(self.keys))]).withColumn("_change", F.coalesce("_change", F.lit("new")))
         if self.order:
             todo = todo.where(F.col("_known").isNull() | (F.col(self.order) >= F.col("_known"))).drop("_known")
         return todo
