@@ -95,11 +95,31 @@ def test_updates_reach_the_counts_of_a_full_run_and_rescore_what_moved(spark, tm
     assert counted(t.counts()) == brute(second)
     scores = {(r.grp, r.a, r.b): (r.shared, r.total) for r in moved.collect()}
     assert scores == {("g", "a", "b"): (1, 3), ("g", "a", "c"): (1, 3)}
+    assert {(r.grp, r.a, r.b): (r.shared, r.total) for r in t.scores().collect()} == scores | {("h", "x", "y"): (1, 1)}
     t.update(baskets(spark, second), baskets(spark, []))
-    assert t.counts() is None
+    assert t.counts().count() == 0 and t.scores().count() == 0
     assert t.update(None, baskets(spark, [])).count() == 0
 
 
+def test_steps_reach_the_scores_of_one_recount(spark, monkeypatch):
+    """Fed in one, two and five batches, with deliveries of one commit in several, the hits are those of a plain count."""
+    import random
+
+    rng = random.Random(4)
+    files = [f"f{k}" for k in range(9)]
+    commits = [(f"c{k % 40}".upper() if k % 3 else f"c{k % 40}", "rq"[k % 40 % 2], None, rng.sample(files, rng.randrange(5)), ts(k % 24) if k % 7 else None) for k in range(60)]
+    frame = spark.createDataFrame(commits, COMMITS)
+    own = {}
+    for sha, repo, _, held, _ in commits:
+        own.setdefault((sha.lower(), repo), set()).update(held)
+    n = brute([(b, g, i) for (b, g), i in own.items()])
+    want = {k for k, shared in n.items() if k[2] and shared >= 3 and shared * n[(k[0], None, None)] >= 1 * n[(k[0], k[1], None)] * n[(k[0], k[2], None)]}
+    assert want
+    monkeypatch.setattr(cooccur.PairTable, "MOST_SEGMENTS", 2)
+    for steps in (1, 2, 4):
+        assert {tuple(r) for r in cooccur.found(frame, shared=3, times=1, steps=steps).collect()} == want
+
+
 def test_found_pairs(spark):
     rows = [(f"S{k}", "r", None, ["a", "b", "b", None], ts(1)) for k in range(5)] + [("s0", "r", None, ["b", "a"], ts(2))] + [(f"t{k}", "r", None, None if k % 2 else ["c"], ts(1)) for k in range(20)] + [(None, "r", None, ["a", "b"], ts(1))]
     commits = spark.createDataFrame(rows, COMMITS)
