@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: terms.found(table(s, d, "commits"), table(s, d, "file_extracts")),
+        "p1_scores": lambda s, d: terms.scores(table(s, d, "commits"), table(s, d, "file_extracts")),
         "p3_found": lambda s, d: language.found(table(s, d, "sections")),
         "p4_found": lambda s, d: cooccur.found(table(s, d, "commits")),
         "p5_found": lambda s, d: provenance.found(table(s, d, "discovered"), table(s, d, "files")),
@@ -30,10 +31,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p4_found": P4_FOUND}
+    return {"p1_found": P1_COUNTED + P1_FOUND, "p1_scores": P1_COUNTED + P1_SCORES, "p4_found": P4_FOUND}
 
 
-P1_FOUND = r"""
+P1_COUNTED = r"""
 WITH last_commit AS (
   SELECT lower(sha) AS record_key, arg_max(repo, (ingested_at, subject)) AS repo, arg_max(subject, (ingested_at, subject)) AS subject
   FROM commits WHERE sha IS NOT NULL AND subject IS NOT NULL GROUP BY 1),
@@ -52,11 +53,30 @@ counted AS (
          CASE WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END AS term,
          count(*) AS n
   FROM uses GROUP BY 1, 2, 3, 4),
-spread AS (SELECT record_kind, term, count(*) AS records FROM counted GROUP BY 1, 2)
+spread AS (SELECT record_kind, term, count(*) AS records, sum(n) AS term_uses FROM counted GROUP BY 1, 2)
+"""
+
+P1_FOUND = """
 SELECT record_kind, repo, record_key, term FROM counted JOIN spread USING (record_kind, term)
 WHERE records BETWEEN 2 AND 12 AND (record_kind = 'commit' OR n >= 5)
 """
 
+P1_SCORES = """,
+sized AS (SELECT record_kind, repo, record_key, sum(n) AS record_uses FROM counted GROUP BY 1, 2, 3),
+totals AS (SELECT record_kind, sum(n) AS total FROM counted GROUP BY 1),
+whole AS (
+  SELECT c.record_kind, c.repo, c.record_key, c.term, n, term_uses, records, total,
+         record_uses * term_uses / total::DOUBLE AS expected,
+         (1 - record_uses / total::DOUBLE) * (1 - term_uses / total::DOUBLE) AS room
+  FROM counted c
+  JOIN sized s ON s.record_kind = c.record_kind AND s.repo IS NOT DISTINCT FROM c.repo AND s.record_key = c.record_key
+  JOIN spread t ON t.record_kind = c.record_kind AND t.term = c.term
+  JOIN totals g ON g.record_kind = c.record_kind)
+SELECT record_kind, repo, record_key, term, n AS uses, term_uses::BIGINT AS term_uses, records AS term_records,
+       round(CASE WHEN room > 0 THEN (n - expected) / sqrt(expected * room) ELSE 0 END, 6) AS residual
+FROM whole
+"""
+
 P4_FOUND = """
 WITH baskets AS (SELECT DISTINCT lower(sha) AS sha, repo FROM commits WHERE sha IS NOT NULL AND repo IS NOT NULL),
 totals AS (SELECT repo, count(*) AS total FROM baskets GROUP BY 1),

@@ -70,7 +70,7 @@ def distinctive_terms(records: DataFrame, keys: list[str]) -> DataFrame:
     totals = counts.agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("total_uses"), F.count(F.lit(1)).alias("total_rows"))
     sized = terms.select("term", F.col("term_records").alias("__rows")).crossJoin(F.broadcast(totals.select("total_rows")))
     scored = salted_join(counts, terms, ["term"], sized, F.col("total_rows"), keys).crossJoin(F.broadcast(totals.select("total_uses")))
-    expected = F.col("record_uses") * F.col("term_uses") / F.col("total_uses")
+    expected = F.col("record_uses").cast("double") * F.col("term_uses") / F.col("total_uses")
     spread = (1 - F.col("record_uses") / F.col("total_uses")) * (1 - F.col("term_uses") / F.col("total_uses"))
     return scored.withColumn("expected", expected).select(
         *keys, "term", "uses", "record_uses", "term_uses", "term_records", "expected",
@@ -86,9 +86,18 @@ def scored_records(commits: DataFrame, file_extracts: DataFrame) -> DataFrame:
     return distinctive_terms(commit_terms(commits), KEYS).unionByName(distinctive_terms(file_terms(file_extracts), KEYS))
 
 
-def found(commits: DataFrame, file_extracts: DataFrame, low: int = 2, high: int = 12, file_uses: int = 5) -> DataFrame:
-    """Rare shared terms: held by ``low`` to ``high`` records; in files used ``file_uses`` times at least."""
+def rare_shared(commits: DataFrame, file_extracts: DataFrame, low: int = 2, high: int = 12, file_uses: int = 5) -> DataFrame:
+    """The scored rows of rare shared terms, with their residuals: terms held by ``low`` to ``high``
+    records; in files used ``file_uses`` times at least. Materialised once, so rankings by residual read it."""
     rows = scored_records(commits, file_extracts)
-    return rows.where(
-        F.col("term_records").between(low, high) & ((F.col("record_kind") == "commit") | (F.col("uses") >= file_uses))
-    ).select("record_kind", "repo", "record_key", "term")
+    return cut(rows.where(F.col("term_records").between(low, high) & ((F.col("record_kind") == "commit") | (F.col("uses") >= file_uses))))
+
+
+def found(commits: DataFrame, file_extracts: DataFrame) -> DataFrame:
+    """(record_kind, repo, record_key, term) of the rare shared terms of each record."""
+    return rare_shared(commits, file_extracts).where("not isnan(residual)").select(*KEYS, "term")
+
+
+def scores(commits: DataFrame, file_extracts: DataFrame) -> DataFrame:
+    """Every term of every record with its counts and its residual to six places."""
+    return scored_records(commits, file_extracts).select(*KEYS, "term", "uses", "term_uses", "term_records", F.round("residual", 6).alias("residual"))
