@@ -16,43 +16,80 @@ Token = tuple[tuple[str, ...], bool, int]
 
 
 class Lexer:
-    """Blanks and comments, token classes, words and signs of a language, in this order."""
+    """Blanks and comments, token classes, words and signs of a language, in this order.
+
+    Tokens that only a recursive pattern reads (``nested``, and comments that nest) begin with
+    ``trigger``; all others are read by a plain pattern without them.
+    """
 
     ident = r"[^\W\d]\w*"
     blank = r"\s+|//[^\n]*|/\*(?s:.*?)\*/"
+    plain_blank = ""
     classes: dict[str, str] = {}
+    nested: tuple[str, ...] = ()
+    trigger = ""
     define = ""
     fold = False
 
     def __init__(self, grammar: Grammar):
         self.grammar = grammar
-        parts = [f"(?P<blank>{self.blank})", *(f"(?P<{k}>{v})" for k, v in self.classes.items()), f"(?P<word>{self.ident})", f"(?P<sign>{grammar.signs})"]
-        engine = regex if self.define else re
-        self.pattern = engine.compile("|".join(parts) + self.define)
+        self.pattern = regex.compile(self._alternatives(self.blank, self.classes) + self.define)
+        simple = {k: v for k, v in self.classes.items() if k not in self.nested}
+        start = f"(?!{self.trigger})" if self.trigger else ""
+        self.plain = re.compile(rf"[ \t]*{start}(?:{self._alternatives(self.plain_blank or self.blank, simple)})")
         self.kinds: dict[str, tuple[str, ...]] = {w: (w,) for w in grammar.reserved} | {w: (w, "IDENT") for w in grammar.soft}
+        self.names = {k: (k,) for k in self.classes}
+        self.marks: dict[str, tuple[str, ...]] = {}
+
+    def _alternatives(self, blank: str, classes: dict[str, str]) -> str:
+        parts = [f"(?P<blank>{blank})", *(f"(?P<{k}>{v})" for k, v in classes.items()), f"(?P<word>{self.ident})", f"(?P<sign>{self.grammar.signs})"]
+        return "|".join(parts)
 
     def word(self, text: str) -> tuple[str, ...]:
-        return self.kinds.get(text.lower() if self.fold else text, ("IDENT",))
+        return self.kinds.get(text.lower() if self.fold else text, IDENT)
+
+    def mark(self, text: str) -> tuple[str, ...]:
+        return self.marks.setdefault(text, (text,))
 
     def tokens(self, text: str) -> list[Token]:
         out: list[Token] = []
-        at, fresh, size, match = 0, True, len(text), self.pattern.match
+        at, fresh, size = 0, True, len(text)
+        names, kinds, fold, marks = self.names, self.kinds, self.fold, self.marks
         while at < size:
-            m = match(text, at)
-            if not m:
+            for m in self.plain.finditer(text, at):
+                if m.start() != at:
+                    break
+                at, kind = m.end(), m.lastgroup
+                if kind == "blank":
+                    fresh = fresh or "\n" in m[0]
+                    continue
+                value = m[kind]
+                if kind == "word":
+                    own = kinds.get(value.lower() if fold else value, IDENT)
+                elif kind == "sign":
+                    own = marks.get(value) or self.mark(value)
+                else:
+                    own = names[kind]
+                out.append((own, fresh, m.start(kind)))
+                fresh = False
+            if at >= size:
+                break
+            m = self.pattern.match(text, at)
+            if not m or not m[0]:
                 out.append(((ERROR,), fresh, at))
                 break
-            kind, value = m.lastgroup, m[m.lastgroup]
-            if kind == "blank":
-                fresh = fresh or "\n" in value
-            else:
-                kinds = self.word(value) if kind == "word" else (value,) if kind == "sign" else (kind,)
-                out.append((kinds, fresh, at))
-                fresh = False
+            kind = m.lastgroup
             at = m.end()
+            if kind == "blank":
+                fresh = fresh or "\n" in m[0]
+                continue
+            value = m[kind]
+            out.append((self.word(value) if kind == "word" else self.mark(value) if kind == "sign" else names[kind], fresh, m.start(kind)))
+            fresh = False
         return out
 
 
+IDENT = ("IDENT",)
 _NUMBER = r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*)?\.\d[\d_]*(?:[eE][+-]?\d[\d_]*)?|\d[\d_]*\.(?![.\w])(?:[eE][+-]?\d[\d_]*)?|\d[\d_]*(?:[eE][+-]?\d[\d_]*)?)"
 _STRING = r'"(?!"")(?:[^"\\\n]|\\.)*"'
 _CHAR = r"'(?:[^'\\\n]|\\(?:u\{?[\da-fA-F]+\}?|x[\da-fA-F]+|[0-7]{1,3}|.))'"
@@ -81,6 +118,8 @@ class GoLexer(Lexer):
 
 class RustLexer(Lexer):
     blank = r"\s+|//[^\n]*|(?P<nest>/\*(?:[^*/]|\*(?!/)|/(?!\*)|(?&nest))*\*/)"
+    plain_blank = r"\s+|//[^\n]*"
+    nested, trigger = ("STRING", "CHAR"), r"/\*|[bcr]{0,2}[\"'#]"
     ident = r"(?:r#)?[^\W\d]\w*"
     classes = {
         "STRING": r'(?:b|c)?r(?P<rs>#*)"(?s:.*?)"(?P=rs)|(?:b|c)?"(?s:[^"\\]|\\.)*"',
@@ -96,7 +135,8 @@ class RustLexer(Lexer):
 
 
 class CSharpLexer(Lexer):
-    blank = r"\s+|//[^\n]*|/\*(?s:.*?)\*/|(?m:^[ \t]*\#[^\n]*)"
+    blank = r"\s+|//[^\n]*|/\*(?s:.*?)\*/|\#[^\n]*"
+    nested, trigger = ("STRING",), r"[$@\"]"
     ident = r"@?[^\W\d]\w*"
     classes = {
         "STRING": r'\$*(?P<q>"{3,})(?s:.*?)(?P=q)(?!")|\$@"(?P<vi>(?:[^"{}]|""|\{\{|\}\}|(?P<hole>\{(?:[^{}"]|"(?:[^"\\\n]|\\.)*"|(?&hole))*\}))*)"|@\$"(?:[^"{}]|""|\{\{|\}\}|(?&hole))*"|@"(?:[^"]|"")*"'
@@ -106,13 +146,11 @@ class CSharpLexer(Lexer):
     }
     define = "(?(DEFINE)(?P<unused>.))"
 
-    def __init__(self, grammar: Grammar):
-        super().__init__(grammar)
-        self.pattern = regex.compile(self.pattern.pattern)
-
 
 class KotlinLexer(Lexer):
     blank = r"\s+|//[^\n]*|(?P<nest>/\*(?:[^*/]|\*(?!/)|/(?!\*)|(?&nest))*\*/)"
+    plain_blank = r"\s+|//[^\n]*"
+    nested, trigger = ("STRING",), r"/\*|\""
     ident = r"[^\W\d]\w*|`[^`\n]+`"
     classes = {
         "STRING": r'"""(?:[^"$]|\$(?!\{)|"(?!"")|\$(?P<hole>\{(?:[^{}"\']|(?&plain)|\'(?:[^\'\\\n]|\\.)+\'|(?&hole))*\}))*"{3,}|(?P<plain>"(?!"")(?:[^"\\\n$]|\\.|\$(?!\{)|\$(?&hole))*")',
@@ -128,6 +166,7 @@ class KotlinLexer(Lexer):
 
 class PhpLexer(Lexer):
     blank = r"\s+|//(?:(?!\?>)[^\n])*|\#(?!\[)(?:(?!\?>)[^\n])*|/\*(?s:.*?)\*/"
+    nested, trigger = ("STRING",), r"b?[\"'`]|<<<"
     ident = r"\\?[^\W\d]\w*(?:\\[^\W\d]\w*)*"
     fold = True
     classes = {
@@ -178,6 +217,10 @@ class ScriptLexer(Lexer):
     CHUNK = re.compile(r"(?:[^`\\$]|\\(?s:.)|\$(?!\{))*(`|\$\{)")
     VALUES = {"IDENT", "NUMBER", "STRING", "TEMPLATE", "T_CLOSE", "REGEX", "PRIVATE", ")", "]", "this", "super", "null", "true", "false", "++", "--"}
 
+    def __init__(self, grammar: Grammar):
+        super().__init__(grammar)
+        self.pattern = re.compile(self._alternatives(self.blank, self.classes))
+
     def tokens(self, text: str) -> list[Token]:
         out: list[Token] = []
         at, fresh, size, match = 0, True, len(text), self.pattern.match
@@ -227,6 +270,7 @@ class ScriptLexer(Lexer):
 
 class PythonLexer(Lexer):
     blank = r"[ \t\f]+|\\\r?\n|\#[^\n]*"
+    nested, trigger = ("STRING",), r"[A-Za-z]{0,2}[\"']"
     define = (
         r"(?(DEFINE)(?P<quoted>\"\"\"(?s:(?:[^\\]|\\.)*?)\"\"\"|'''(?s:(?:[^\\]|\\.)*?)'''|\"(?:[^\"\\\n{]|\\.|\{\{|(?&hole)|\{)*\"|'(?:[^'\\\n{]|\\.|\{\{|(?&hole)|\{)*')"
         r"(?P<hole>\{(?:[^{}\"']|(?&quoted)|(?&hole))+\}))"
