@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ast
-import warnings
 from functools import lru_cache
 
 from quarrylens.llm.syntax import grammars as g
@@ -36,7 +34,6 @@ def first_error(content: str | None, lang: str | None) -> int | None:
     """The line, from 1, of the first token that no valid file has there; None for valid files.
 
     Null, empty and comment-only contents are valid, and so are languages without a grammar.
-    A Python file its grammar refuses is read by the Python parser too before it counts.
     """
     key = (lang or "").strip().lower()
     if not content or not content.strip() or key not in LANGUAGES:
@@ -49,13 +46,5 @@ def first_error(content: str | None, lang: str | None) -> int | None:
     at = grammar.recognise(tokens, newline)
     if at < 0:
         return None
-    if key == "python":
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-            return None
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            pass
     offset = tokens[at][2] if at < len(tokens) else len(text)
     return text.count("\n", 0, offset) + 1
