@@ -6,6 +6,7 @@ from functools import lru_cache
 
 from quarrylens.llm.syntax import grammars as g
 from quarrylens.llm.syntax import lexers as x
+from quarrylens.llm.syntax.early import python_error
 from quarrylens.llm.syntax.engine import Grammar
 
 #: Grammar, reserved words, lexer and what line ends mean, by language.
@@ -44,6 +45,10 @@ def first_error(content: str | None, lang: str | None) -> int | None:
     if not tokens:
         return None
     at = grammar.recognise(tokens, newline)
+    if at < 0 and key == "python":
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+        bad = python_error(tokens, text)
+        at = -1 if bad is None else bad
     if at < 0:
         return None
     offset = tokens[at][2] if at < len(tokens) else len(text)

@@ -10,8 +10,8 @@ line: NEWLINE | stmt
 stmt: simple NEWLINE | compound
 simple: small (';' small)* ';'?
 small: exprs | assign | 'pass' | 'break' | 'continue' | 'return' starexprs? | 'raise' (test ('from' test)?)? | 'global' IDENT (',' IDENT)* | 'nonlocal' IDENT (',' IDENT)*
-    | 'del' tests | 'assert' test (',' test)? | importing | 'type' IDENT tparams? '=' test
-assign: starexprs ':' test ('=' value)? | (starexprs '=')+ value | starexprs augment value
+    | 'del' targets | 'assert' test (',' test)? | importing | 'type' IDENT tparams? '=' test
+assign: (single | '(' single ')') ':' test ('=' value)? | (targets '=')+ value | (single | '(' single ')') augment value
 augment: '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>=' | '<<=' | '**='
 value: starexprs | yielding
 exprs: starexprs | yielding
@@ -45,7 +45,8 @@ closed: '-'? NUMBER (('+' | '-') NUMBER)? | STRING+ | 'None' | 'True' | 'False'
     | '{' (mapitem (',' mapitem)* ','?)? '}'
 patarg: pattern | IDENT '=' pattern
 mapitem: closed ':' pattern | '**' IDENT
-target: primary | '(' targets ')' | '[' targets ']'
+single: IDENT | primary '.' IDENT | primary '[' slices ']'
+target: single | '(' targets? ')' | '[' targets? ']'
 targets: startarget (',' startarget)* ','?
 startarget: '*'? target
 starexprs: startest (',' startest)* ','?
@@ -64,8 +65,9 @@ binary: '|' | '^' | '&' | '<<' | '>>' | '+' | '-' | '*' | '/' | '//' | '%' | '@'
 unary: ('+' | '-' | '~') unary | power
 power: 'await'? primary ('**' unary)?
 primary: atom | primary '.' IDENT | primary '(' args? ')' | primary '[' slices ']'
-args: arg (',' arg)* ','?
-arg: named | named comp | IDENT '=' test | '*' test | '**' test
+args: named comp | placed (',' placed)* (',' keyed)* ','? | keyed (',' keyed)* ','?
+placed: named | '*' test
+keyed: IDENT '=' test | '*' test | '**' test
 slices: slice (',' slice)* ','?
 slice: startest | test? ':' test? (':' test?)?
 atom: IDENT | NUMBER | STRING+ | '...' | 'None' | 'True' | 'False' | '(' ')' | '(' starexprs ')' | '(' yielding ')' | '(' named comp ')' | '[' ']' | '[' starexprs ']' | '[' startest comp ']'
@@ -76,7 +78,7 @@ compif: 'if' compcond
 compcond: disjunction | IDENT ':=' disjunction | 'lambda' lparams? ':' compcond
 """
 
-SCRIPT_RESERVED = """break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null
+SCRIPT_RESERVED = """break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof let new null
 return super switch this throw true try typeof var void while with"""
 #: Shared by both script languages, which fill the rules named t_... .
 SCRIPT = r"""
@@ -97,12 +99,13 @@ block: '{' stmt* '}'
 stmt: block | ';' | vars ';' | function | class | t_declaration | 'if' '(' expr ')' stmt ('else' stmt)? | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';'? | for
     | 'continue' IDENT? ';' | 'break' IDENT? ';' | 'return' expr? ';' | 'throw' expr ';' | 'debugger' ';' | switch | try | IDENT ':' stmt | exprstmt ';'
 exprstmt: expr ![ '{' 'function' 'class' ]
-for: 'for' '(' (vars | expr)? ';' expr? ';' expr? ')' stmt | 'for' 'await'? '(' (varkind binding | leftside) ('in' expr | 'of' assignment) ')' stmt
+for: 'for' '(' (vars | expr)? ';' expr? ';' expr? ')' stmt | 'for' 'await'? '(' (varkind binding | target) ('in' expr | 'of' assignment) ')' stmt
 switch: 'switch' '(' expr ')' '{' (('case' expr | 'default') ':' stmt*)* '}'
 try: 'try' block ('catch' ('(' binding t_type ')')? block ('finally' block)? | 'finally' block)
 varkind: 'var' | 'let' | 'const' | 'using' | 'await' 'using'
-vars: varkind declarator (',' declarator)*
-declarator: binding t_definite t_type ('=' assignment)?
+vars: ('var' | 'let') declarator (',' declarator)* | ('const' | 'using' | 'await' 'using') initialised (',' initialised)*
+declarator: IDENT t_definite t_type ('=' assignment)? | initialised
+initialised: binding t_type '=' assignment | t_ambient
 binding: IDENT | '[' bindelem? (',' bindelem?)* ']' | '{' (bindprop (',' bindprop)* ','?)? '}'
 bindelem: binding ('=' assignment)? | '...' binding
 bindprop: propname ':' binding ('=' assignment)? | IDENT ('=' assignment)? | '...' binding
@@ -116,14 +119,16 @@ methodkind: 'get' | 'set' | 'async'
 field: 'accessor'? propname t_definite t_optional t_type ('=' assignment)?
 propname: anyname | STRING | NUMBER | PRIVATE | '[' assignment ']'
 expr: assignment (',' assignment)*
-assignment: conditional | arrow | leftside assignop assignment | 'yield' '*'? assignment?
-assignop: '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>' '>=' | '>' '>' '>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??='
+assignment: conditional | arrow | target '=' assignment | simple assignop assignment | 'yield' '*'? assignment?
+target: simple | array | object
+simple: IDENT | leftside '.' (anyname | PRIVATE) | leftside '[' expr ']' | '(' simple ')' | t_target
+assignop: '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>' '>=' | '>' '>' '>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??='
 arrow: 'async'? (IDENT | t_params '(' params ')' t_result) '=>' arrowbody
 arrowbody: assignment ![ '{' ] | '{' stmt* '}'
 conditional: binary ('?' assignment ':' assignment)?
 binary: unary (binop unary | t_cast)*
 binop: '||' | '&&' | '??' | '|' | '^' | '&' | '==' | '!=' | '===' | '!==' | '<' | '>' | '<=' | '>=' | 'instanceof' | 'in' | '<<' | '>' '>' | '>' '>' '>' | '+' | '-' | '*' | '/' | '%' | '**'
-unary: ('!' | '~' | '+' | '-' | 'typeof' | 'void' | 'delete' | 'await' | '++' | '--' | PLUSPLUS) unary | t_angle unary | leftside ('++' | '--')?
+unary: ('!' | '~' | '+' | '-' | 'typeof' | 'void' | 'delete' | 'await') unary | ('++' | '--' | PLUSPLUS) simple | t_angle unary | leftside | simple ('++' | '--')
 leftside: primary | leftside '.' (anyname | PRIVATE) | leftside '[' expr ']' | leftside t_args arguments | leftside template | leftside t_nonnull
     | leftside '?.' (anyname | PRIVATE | '[' expr ']' | arguments) | 'new' leftside | 'new' '.' 'target' | 'import' arguments | 'import' '.' 'meta'
 arguments: '(' (argument (',' argument)* ','?)? ')'
@@ -152,6 +157,8 @@ t_signature: '<none>'
 t_cast: '<none>'
 t_angle: '<none>'
 t_nonnull: '<none>'
+t_target: '<none>'
+t_ambient: '<none>'
 """
 TYPESCRIPT = SCRIPT + r"""
 t_declaration: 'declare' declaration | 'interface' IDENT t_params ('extends' typelist)? objecttype | 'type' IDENT t_params '=' type ';' | 'const'? 'enum' IDENT '{' (enumitem (',' enumitem)* ','?)? '}'
@@ -179,6 +186,8 @@ t_signature: t_member '[' IDENT ':' type ']' ':' type ';'
 t_cast: 'as' type | 'as' 'const' | 'satisfies' type
 t_angle: '<' type '>'
 t_nonnull: '!'
+t_target: leftside t_nonnull | '(' expr t_cast ')' | '(' t_angle unary ')'
+t_ambient: IDENT ':' type
 param: 'this' ':' type
 type: conditionaltype | functiontype
 functiontype: t_params '(' params ')' '=>' predicate | 'abstract'? 'new' t_params '(' params ')' '=>' type
@@ -240,7 +249,7 @@ stmt: block | ';' | IDENT ':' stmt | 'if' '(' expr ')' stmt ('else' stmt)? | 'wh
     | 'continue' IDENT? ';' | 'throw' expr ';' | 'yield' expr ';' | 'assert' expr (':' expr)? ';' | 'synchronized' '(' expr ')' block | try | stmtexpr ';'
 for: 'for' '(' (localvars | stmtexprs)? ';' expr? ';' stmtexprs? ')' stmt | 'for' '(' parammod* type IDENT ':' expr ')' stmt
 stmtexprs: stmtexpr (',' stmtexpr)*
-stmtexpr: assignment | ('++' | '--') unary | postfix ('++' | '--') | call | creation
+stmtexpr: assignment | ('++' | '--') target | target ('++' | '--') | call | creation
 switchbody: '{' (labels+ blockstmt*)* '}' | '{' (caselabel '->' (expr ';' | block | 'throw' expr ';'))+ '}'
 labels: caselabel ':'
 caselabel: 'case' casevalue (',' casevalue)* ('when' expr)? | 'default'
@@ -249,13 +258,14 @@ pattern: parammod* type IDENT | type '(' (pattern (',' pattern)*)? ')' IDENT?
 try: 'try' ('(' resource (';' resource)* ';'? ')')? block ('catch' '(' parammod* type ('|' type)* IDENT ')' block)* ('finally' block)?
 resource: parammod* type IDENT '=' expr | postfix
 expr: assignment | conditional | lambda
-assignment: postfix assignop expr
+assignment: target assignop expr
+target: IDENT | primary '.' IDENT | primary '[' expr ']' | '(' target ')'
 assignop: '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>' '>=' | '>' '>' '>='
 lambda: (IDENT | '(' (IDENT (',' IDENT)*)? ')' | '(' params ')') '->' (expr | block)
 conditional: binary ('?' expr ':' (conditional | lambda))?
 binary: unary (binop unary | 'instanceof' (parammod* type | pattern))*
 binop: '||' | '&&' | '|' | '^' | '&' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '<<' | '>' '>' | '>' '>' '>' | '+' | '-' | '*' | '/' | '%'
-unary: ('+' | '-' | '!' | '~' | '++' | '--') unary | '(' type ('&' type)* ')' (unary | lambda) | postfix ('++' | '--')*
+unary: ('+' | '-' | '!' | '~') unary | ('++' | '--') target | '(' type ('&' type)* ')' (unary | lambda) | postfix | target ('++' | '--')
 postfix: primary
 primary: NUMBER | STRING | CHAR | 'true' | 'false' | 'null' | 'this' | 'super' | IDENT | '(' expr ')' | primary '.' IDENT | primary '.' 'this' | primary '.' 'super' | primary '[' expr ']' | call | creation | (type | 'void') '.' 'class'
     | (primary | type) '::' typeargs? (IDENT | 'new') | 'switch' '(' expr ')' switchbody

@@ -93,6 +93,58 @@ def test_broken_sources(lang):
         assert first_error(text, lang) is not None, text
 
 
+EARLY = {
+    "python": ["x = 1 = 2\n", "f() = 3\n", "break\n", "return 1\n", "def f(a, a): pass\n", "def f(a=1, b): pass\n", "def f(**k, a): pass\n", "class A:\n    return 1\n", "for x in y: pass\nelse: break\n", "while x:\n    def f():\n        continue\n", "x + 1 += 2\n",
+               "f(a=1, b)\n", "f(x for x in y, 1)\n", "del f()\n", "def f():\n    await g()\n", "yield 1\n", "if x:\n    a\nbreak\n"],
+    "javascript": ["const x;", "1 = 2;", "f() = 3;", "let {a};", "1++;", "++f();", "for (f() of x) ;", "a + b = c;"],
+    "typescript": ["const x;", "1 = 2;", "let [a];", "f() += 3;"],
+    "java": ["class A { void f() { 1 = 2; } }", "class A { void f() { g() = 2; } }", "class A { void f() { 1++; } }"],
+}
+PLAIN = {
+    "python": ["def f(a, *, b=1, c, **k): return\n", "def f(a, /, b=2, *c, d): yield\n", "for x in y:\n    if x: break\n    else: continue\n", "lambda: (yield)\nx = lambda a, a2=1: a\n", "while 1: x = {'a': lambda: 1}; break\n", "async def f():\n    await g()\n    async with a: return [await x async for x in y]\n",
+               "a, (b, c), *d = e = f\nx.y[1:2].z = 3\n(x): int = 3\ndel a, (b), [c.d]\nf(*a, b, *c, k=1, *d, **e)\nf(x for x in y)\n", "def f[T](a: T, **k,): return a\n"],
+    "javascript": ["[a, b] = [b, a]; ({ a, ...b } = c); (a) = 1; a.b[c]++; --x.y; for (const x of y) ; for (let k in o) ; for (a.b of c) ;", "let a, b = 1; var {c} = d; const e = 1, [f] = g;"],
+    "typescript": ["declare const x: number;\ndeclare namespace N { const y: string; }\nlet z!: number; (a as any).b = 1; a!.b = 2; (<any>c) = 3; d! = 4;"],
+    "java": ["class A { void f() { a = b = 1; c.d[0] += 2; (e) = 3; i++; --this.j; k[0]--; x = -y++ + ++z; } }"],
+}
+
+
+@pytest.mark.parametrize("lang", sorted(EARLY))
+def test_early_errors(lang):
+    for text in EARLY[lang]:
+        assert first_error(text, lang) is not None, text
+    for text in PLAIN[lang]:
+        assert first_error(text, lang) is None, text
+
+
+def test_changed_python_files_are_judged_as_by_the_parser():
+    """Files of the standard library with one token dropped, doubled, moved or added."""
+    import random
+    import warnings
+
+    from quarrylens.llm.syntax import check
+
+    rng, lexer, judged = random.Random(7), check._parser("python")[1], 0
+    for path in sorted(glob.glob(os.path.join(os.path.dirname(ast.__file__), "*.py")))[:70]:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        at = [t[2] for t in lexer.tokens(text) if t[0][0] not in ("NEWLINE", "INDENT", "DEDENT")]
+        if len(text) > 12_000 or len(at) < 5:
+            continue
+        a, b, c = (lambda k: at[k : k + 3])(rng.randrange(len(at) - 2))
+        for changed in (text[:a] + text[b:], text[:b] + text[a:], text[:a] + text[b:c] + " " + text[a:b] + text[c:], text[:a] + rng.choice(["return ", "= ", "( ", "break ", "1 ", "def "]) + text[a:]):
+            try:
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore")
+                    compile(changed, path, "exec")
+                valid = True
+            except (SyntaxError, ValueError):
+                valid = False
+            assert (first_error(changed, "python") is None) == valid, changed[max(0, a - 60) : c + 60]
+            judged += 1
+    assert judged > 60
+
+
 def test_unknown_languages_and_blanks_are_valid():
     assert first_error("(((", "cobol") is None and first_error(None, "python") is None and first_error(" \n", "go") is None
 
