@@ -26,12 +26,14 @@ CHUNK_LINES = 2000
 
 _QUOTED = r"""(?P<str>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`)"""
 _NOTE = r"(?P<note>//[^\n]*+|/\*(?s:.*?)\*/)"
-#: Comment, signature and body in languages whose blocks have braces.
+_INSIDE = r"""(?&str)|(?&note)|/|["'`]"""
+#: Comment, signature and body in languages whose blocks have braces. Every loop is possessive, so a match costs no more
+#: than the text it looks at.
 BRACED = regex.compile(
     rf"(?P<comment>(?:[ \t]*+(?://[^\n]*+|/\*(?s:.*?)\*/|\#\[[^\n]*+|@\w[^\n]*+)\s*+)*+)"
-    rf"(?P<signature>[^\S\n]*+[^\s{{][^{{}};\"'`]*?(?P<round>\((?:[^()\"'`/]++|(?&str)|(?&note)|/|(?&round))*+\))[^{{}};\"'`]*?)"
-    rf"\s*(?P<body>(?P<curly>\{{(?:[^{{}}\"'`/]++|(?&str)|(?&note)|/|['\"`]|(?&curly))*+\}}))"
-    rf"(?(DEFINE){_QUOTED}{_NOTE})"
+    rf"(?P<signature>[^\S\n]*+(?=[^\s{{])(?:[^{{}};()\[\]\"'`/]++|(?&round)|(?&square)|{_INSIDE})*+)"
+    rf"(?P<body>(?P<curly>\{{(?:[^{{}}\"'`/]++|(?&curly)|{_INSIDE})*+\}})|;?+)"
+    rf"(?(DEFINE){_QUOTED}{_NOTE}(?P<round>\((?:[^()\"'`/]++|(?&round)|{_INSIDE})*+\))(?P<square>\[(?:[^\[\]\"'`/]++|(?&square)|{_INSIDE})*+\]))"
 )
 #: The same where blocks are indented: the body is what stands deeper than the signature.
 INDENTED = regex.compile(
@@ -44,19 +46,44 @@ _ABOVE = re.compile(r"\s*(?://|/\*|\*|\*/|#|@)")
 _CLASS = re.compile(r"^\s*(?:(?:export|default|public|private|protected|internal|static|final|abstract|sealed|partial|open|data|inner|pub(?:\([^)]*\))?|declare|@\w+)\s+)*(?:class|interface|struct|enum|trait|impl|namespace|object|record|module|mod|type|union)\b(?!\s*\()")
 
 
-def capture(content: str, lang: str | None, line: int) -> tuple[str, str, str] | None:
-    """(comment, signature, body) of the function whose signature starts in the given line, counted from 1."""
-    text = content.replace("\r\n", "\n").replace("\r", "\n")
-    lines = text.split("\n")
-    if not 0 < line <= len(lines):
+class Source:
+    """The text of a file with one kind of line end and the places of its lines."""
+
+    def __init__(self, content: str):
+        self.text = content.replace("\r\n", "\n").replace("\r", "\n")
+        self.starts = [0]
+        at = self.text.find("\n")
+        while at >= 0:
+            self.starts.append(at + 1)
+            at = self.text.find("\n", at + 1)
+
+    def line(self, k: int) -> str:
+        """The line k, counted from 0, without its end."""
+        return self.text[self.starts[k] : self.end(k)]
+
+    def end(self, k: int) -> int:
+        return self.starts[k + 1] - 1 if k + 1 < len(self.starts) else len(self.text)
+
+
+def capture(source: Source | str, lang: str | None, line: int, last: int | None = None) -> tuple[str, str, str] | None:
+    """(comment, signature, body) of the function whose signature starts in the given line, counted from 1.
+
+    Nothing after the line ``last`` is looked at. A function without a body (one that is only
+    declared, or whose value follows ``=``) is captured with what its own lines hold.
+    """
+    source = Source(source) if isinstance(source, str) else source
+    if not 0 < line <= len(source.starts):
         return None
     top = line - 1
-    while top > 0 and lines[top - 1].strip() and _ABOVE.match(lines[top - 1]):
+    while top > 0 and (above := source.line(top - 1)).strip() and _ABOVE.match(above):
         top -= 1
-    pattern = INDENTED if (lang or "").lower() == "python" else BRACED
+    python = (lang or "").lower() == "python"
+    end = source.end(min(max(last, line), len(source.starts)) - 1) if last else len(source.text)
     for first in dict.fromkeys((top, line - 1)):
-        m = pattern.match(text, sum(len(x) + 1 for x in lines[:first]), timeout=5)
-        if m and text.count("\n", 0, m.start("signature")) == line - 1:
+        m = (INDENTED if python else BRACED).match(source.text, source.starts[first], end)
+        if m and source.starts[line - 1] <= m.start("signature") <= source.end(line - 1) and "(" in m["signature"]:
+            if not python and not m["curly"] and not (last and m.end() >= end - 1) and m["body"] != ";":
+                continue
             return m["comment"].strip(), m["signature"].strip(), m["body"]
     return None
 
@@ -157,12 +184,13 @@ def latest_answers(why_answers: DataFrame, nodes: DataFrame) -> DataFrame:
 def function_pairs(nodes: DataFrame, why_answers: DataFrame, discovered: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each function with a telling documentation.
 
-    Out: uid, name, path, lang, signature, documentation, comment, code. The code and the
-    comment above it come from the captured match in the file, the code from the lines of
-    the node where nothing matches (sources that do not parse), null where the file is
-    unknown. Repeated nodes are one, the greatest row of a uid; a path found in several repositories takes the
-    content modified last. Nodes without path or line, classes, and functions whose newest
-    answer lacks a signature or says nothing are left out.
+    Out: uid, name, path, lang, signature, documentation, comment, code, captured. Where the
+    recursive pattern captures the function in its file (``captured``), the code is its signature
+    and body and the comment what stands above; else (sources that do not parse, lines that no
+    longer fit) the code is the lines of the node, null where the file is unknown. Repeated nodes
+    are one, the greatest row of a uid; a path found in several repositories takes the content
+    modified last. Nodes without path or line, classes, and functions whose newest answer lacks
+    a signature or says nothing are left out.
     """
     symbols = pick(nodes, "uid", "kind", "name", "path", "line_start", "line_end", "lang").where(
         "kind = 'Symbol' and uid is not null and path is not null and line_start is not null"
@@ -183,24 +211,28 @@ def function_pairs(nodes: DataFrame, why_answers: DataFrame, discovered: DataFra
         for batch in batches:
             rows = []
             for path, functions, content, file_lang in zip(*(c.to_pylist() for c in batch.columns)):
-                lines = re.split(r"\r\n|\r|\n", content) if content is not None else None
+                source = Source(content) if content is not None else None
                 for f in functions:
                     if not is_callable(f["signature"]) or telling_words(f["documentation"], f["name"]) < min_words:
                         continue
-                    comment = code = None
-                    if lines is not None:
-                        try:
-                            match = capture(content, file_lang or f["lang"], f["line_start"])
-                        except TimeoutError:
-                            match = None
+                    comment = code = match = None
+                    if source is not None:
+                        match = capture(source, file_lang or f["lang"], f["line_start"], f["line_end"])
                         if match:
                             comment, code = match[0] or None, f"{match[1]} {match[2].rstrip()}" if match[2].startswith("{") else f"{match[1]}{match[2].rstrip()}"
                         else:
-                            code = "\n".join(lines[max(0, f["line_start"] - 1) : max(f["line_start"], f["line_end"] or 0)]) or None
-                    rows.append((f["uid"], f["name"], path, f["lang"], f["signature"], f["documentation"], comment, code))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(len(names))], names)
+                            first, last = max(1, f["line_start"]), min(len(source.starts), max(f["line_start"], f["line_end"] or 0))
+                            code = source.text[source.starts[first - 1] : source.end(last - 1)] or None if first <= last else None
+                    rows.append((f["uid"], f["name"], path, f["lang"], f["signature"], f["documentation"], comment, code, match is not None))
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.string()) for k in range(len(names))), pa.array([r[-1] for r in rows], pa.bool_())], [*names, "captured"])
+
+    return joined.mapInArrow(run, ", ".join(f"{n} string" for n in names) + ", captured boolean")
+
 
-    return joined.mapInArrow(run, ", ".join(f"{n} string" for n in names))
+def captured(nodes: DataFrame, why_answers: DataFrame, discovered: DataFrame) -> DataFrame:
+    """For each language of the nodes: documented functions, those the pattern captured, and their share."""
+    counted = function_pairs(nodes, why_answers, discovered).groupBy("lang").agg(F.count(F.lit(1)).alias("functions"), F.count_if("captured").alias("captured"))
+    return counted.withColumn("captured_share", F.round(F.col("captured") / F.col("functions"), 6))
 
 
 def found(nodes: DataFrame, why_answers: DataFrame, discovered: DataFrame) -> DataFrame:

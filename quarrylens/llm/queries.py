@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "p6_found": lambda s, d: parsing.found(table(s, d, "discovered")),
         "p6_rates": lambda s, d: parsing.parse_rates(table(s, d, "discovered"), table(s, d, "index_reports")),
         "p7_found": lambda s, d: pairs.found(table(s, d, "nodes"), table(s, d, "why_answers"), table(s, d, "discovered")),
+        "p7_captured": lambda s, d: pairs.captured(table(s, d, "nodes"), table(s, d, "why_answers"), table(s, d, "discovered")),
         "p8_ids": lambda s, d: bpe.encode(table(s, d, "documents")),
         "p9_mixture": lambda s, d: mixture.mix(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p9_shares": lambda s, d: mixture.shares(table(s, d, "documents"), table(s, d, "mix_targets")),

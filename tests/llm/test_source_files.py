@@ -191,6 +191,28 @@ def test_captured_functions():
     assert pairs.capture(JAVA, "java", 99) is None and pairs.capture(JAVA[:140], "java", 5) is None
 
 
+def test_capture_keeps_to_the_lines_of_the_function():
+    text = "fun f(a: Int) = a + 1\n\nfun g(x: (Int) -> Unit) {\n    x(1)\n}\n\n/** Declared. */\nabstract fun h(a: Int);\n"
+    assert pairs.capture(text, "kotlin", 1, 1) == ("", "fun f(a: Int) = a + 1", "")
+    assert pairs.capture(text, "kotlin", 3, 5)[2] == "{\n    x(1)\n}"
+    assert pairs.capture(text, "kotlin", 8) == ("/** Declared. */", "abstract fun h(a: Int)", ";")
+    rust = "fn pick<'a>(x: &'a [u8; 4], y: &'a str) -> [u8; 2] {\n    [x[0], b'{']\n}\n"
+    assert pairs.capture(rust, "rust", 1, 3)[1] == "fn pick<'a>(x: &'a [u8; 4], y: &'a str) -> [u8; 2]"
+
+
+def test_captures_cost_what_they_read():
+    import time
+
+    def took(n):
+        source = pairs.Source("class A {\n" + "".join(f"    int f{k}(int a) {{\n        return g(a, (({k})));\n    }}\n" for k in range(n)) + "(" * 2000)
+        start = time.process_time()
+        assert all(pairs.capture(source, "java", 2 + 3 * k, 4 + 3 * k) for k in range(n))
+        return time.process_time() - start
+
+    took(100)
+    assert took(4000) < 20 * max(took(500), 0.01)
+
+
 TRIVIAL = ["", None, "/** */", "TODO: document", "Copyright (c) 2021 Norvik Works. All rights reserved.", "@param a the first of all values\n@return the result of it", ":param a: the first of all values", "post_order() method", "This function posts order.", "Posts the order",
            "noqa: E501 this line is much too long", "eslint-disable-next-line no-unused-vars no-undef no-console max-len", "a = reserve(a, 9);\nreturn a;", "if (a > 1) {\n  return b;\n}", "Description of the function goes here", "----------------", "Auto-generated method stub", "todo write documentation for this one when ready", "{@inheritDoc}", "Created by the editor template, replace this text."]
 TELLING = ["Only weekdays count; holidays shift forward.", "/**\n * <p>Runs inside one transaction, otherwise raises.</p>\n * @param a the value\n */", "Posts the order. Rounds half to even because auditors demand it.\nTODO: cover the rounding case", "Đơn hàng được khóa sau khi hạch toán xong.", "รายการราคาต้องตรวจสอบจำนวนเงินเมื่อสินค้ามาถึงคลังกลาง"]
