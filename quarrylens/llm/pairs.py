@@ -25,16 +25,24 @@ UNSPACED_WORD = 5
 CHUNK_LINES = 2000
 
 _QUOTED = r"""(?P<str>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`)"""
+#: In languages whose single quotes also mark lifetimes they hold one character.
+_QUOTED_ONE = r"""(?P<str>"(?:[^"\\]|\\.)*+"|'(?:[^'\\\n]|\\[^\n][^'\n]{0,9}+)')"""
 _NOTE = r"(?P<note>//[^\n]*+|/\*(?s:.*?)\*/)"
 _INSIDE = r"""(?&str)|(?&note)|/|["'`]"""
-#: Comment, signature and body in languages whose blocks have braces. Every loop is possessive, so a match costs no more
-#: than the text it looks at.
-BRACED = regex.compile(
-    rf"(?P<comment>(?:[ \t]*+(?://[^\n]*+|/\*(?s:.*?)\*/|\#\[[^\n]*+|@\w[^\n]*+)\s*+)*+)"
-    rf"(?P<signature>[^\S\n]*+(?=[^\s{{])(?:[^{{}};()\[\]\"'`/]++|(?&round)|(?&square)|{_INSIDE})*+)"
-    rf"(?P<body>(?P<curly>\{{(?:[^{{}}\"'`/]++|(?&curly)|{_INSIDE})*+\}})|;?+)"
-    rf"(?(DEFINE){_QUOTED}{_NOTE}(?P<round>\((?:[^()\"'`/]++|(?&round)|{_INSIDE})*+\))(?P<square>\[(?:[^\[\]\"'`/]++|(?&square)|{_INSIDE})*+\]))"
-)
+
+
+def _braced(quoted: str) -> regex.Pattern:
+    """Comment, signature and body in languages whose blocks have braces. Every loop is possessive, so a match costs
+    no more than the text it looks at."""
+    return regex.compile(
+        rf"(?P<comment>(?:[ \t]*+(?://[^\n]*+|/\*(?s:.*?)\*/|\#\[[^\n]*+|@\w[^\n]*+)\s*+)*+)"
+        rf"(?P<signature>[^\S\n]*+(?=[^\s{{])(?:[^{{}};()\[\]\"'`/]++|(?&round)|(?&square)|{_INSIDE})*+)"
+        rf"(?P<body>(?P<curly>\{{(?:[^{{}}\"'`/]++|(?&curly)|{_INSIDE})*+\}})|;?+)"
+        rf"(?(DEFINE){quoted}{_NOTE}(?P<round>\((?:[^()\"'`/]++|(?&round)|{_INSIDE})*+\))(?P<square>\[(?:[^\[\]\"'`/]++|(?&square)|{_INSIDE})*+\]))"
+    )
+
+
+BRACED, RUST = _braced(_QUOTED), _braced(_QUOTED_ONE)
 #: The same where blocks are indented: the body is what stands deeper than the signature.
 INDENTED = regex.compile(
     r"(?P<comment>(?:[ \t]*+(?:#[^\n]*+|@\w[^\n]*+)\n)*+)"
@@ -77,10 +85,12 @@ def capture(source: Source | str, lang: str | None, line: int, last: int | None
     top = line - 1
     while top > 0 and (above := source.line(top - 1)).strip() and _ABOVE.match(above):
         top -= 1
-    python = (lang or "").lower() == "python"
+    language = (lang or "").lower()
+    python = language == "python"
+    pattern = INDENTED if python else RUST if language == "rust" else BRACED
     end = source.end(min(max(last, line), len(source.starts)) - 1) if last else len(source.text)
     for first in dict.fromkeys((top, line - 1)):
-        m = (INDENTED if python else BRACED).match(source.text, source.starts[first], end)
+        m = pattern.match(source.text, source.starts[first], end)
         if m and source.starts[line - 1] <= m.start("signature") <= source.end(line - 1) and "(" in m["signature"]:
             if not python and not m["curly"] and not (last and m.end() >= end - 1) and m["body"] != ";":
                 continue

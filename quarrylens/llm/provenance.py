@@ -25,24 +25,35 @@ NOTICES = [
     "this file is generated", "file is automatically generated", "was automatically generated", "was automatically created", "automatically created by",
     "automatically generated by", "auto-generated by", "auto-generated file", "autogenerated file", "autogenerated by", "auto generated by",
     "generated automatically", "generated by the protocol buffer compiler", "generated by the schema compiler", "by the schema compiler",
-    "do not edit", "do not modify", "don't edit", "changes will be lost", "changes will be overwritten", "edit the schema instead",
-    "machine-made from", "machine generated", "machine-generated", "automatisch erzeugt", "automatisch generiert", "nicht von hand bearbeiten",
-    "nicht bearbeiten", "nicht ändern", "fichier produit par", "fichier généré", "généré automatiquement", "ne pas modifier", "ne pas éditer",
-    "generado automáticamente", "no modificar", "no editar", "gerado automaticamente", "não editar", "não modificar", "được tạo tự động", "không sửa",
-    "自动生成", "自動生成", "자동 생성",
+    "changes will be lost", "changes will be overwritten", "edit the schema instead",
+    "machine-made from", "machine generated", "machine-generated", "automatisch erzeugt", "automatisch generiert", "fichier produit par", "fichier généré",
+    "généré automatiquement", "generado automáticamente", "gerado automaticamente", "được tạo tự động", "自动生成", "自動生成", "자동 생성",
+]
+# Phrases that forbid to edit; they are notices where they speak of the file as a whole.
+FORBIDDINGS = [
+    "do not edit", "do not modify", "don't edit", "nicht von hand bearbeiten", "nicht bearbeiten", "nicht ändern", "ne pas modifier", "ne pas éditer",
+    "no modificar", "no editar", "não editar", "não modificar", "không sửa",
 ]
 # Phrases that show that such words are only talked about.
 DENIALS = [
     "used to be generated", "no longer generated", "not generated", "kept by hand", "maintained by hand", "edited by hand", "written by hand",
     "method stub", "previously generated", "was once generated", "formerly generated",
 ]
-# Folders of third-party code, as the first part of a path.
-VENDOR_FOLDERS = [
-    "vendor", "vendors", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "external", "externals", "extern",
-    "node_modules", "bower_components", "jspm_packages", "godeps", "deps", "pods", "carthage", "site-packages", ".venv", "venv",
-]
+# Folders of third-party code whose names are also words of other trades.
+VENDOR_FOLDERS = ["vendor", "vendors", "vendored", "external", "externals", "extern", "deps", "pods", "carthage", "venv", ".venv", "3rdparty"]
 # Those that mean third-party code wherever they stand.
-VENDOR_ANYWHERE = ["node_modules", "bower_components", "jspm_packages", "third_party", "thirdparty", "site-packages", "dist-packages", "godeps"]
+VENDOR_ANYWHERE = [
+    "node_modules", "bower_components", "jspm_packages", "third_party", "third-party", "thirdparty", "site-packages", "dist-packages", "godeps",
+]
+# Widely copied libraries.
+LIBRARIES = [
+    "angular", "asio", "axios", "backbone", "boost", "bootstrap", "bzip2", "catch2", "chartjs", "codemirror", "curl", "d3", "datatables", "doctrine", "dojo", "eigen", "ember", "expat", "ffmpeg",
+    "fmt", "fontawesome", "freetype", "glfw", "glm", "googletest", "grpc", "gson", "gtest", "guava", "guzzle", "handlebars", "imgui", "jackson", "jquery", "jquery-ui", "jsoncpp", "junit", "knockout",
+    "laravel", "leaflet", "libpng", "libuv", "lodash", "log4j", "lua", "lz4", "mbedtls", "minizip", "moment", "monolog", "mootools", "nlohmann", "openssl", "phpunit", "popper", "protobuf", "prototype",
+    "pugixml", "react", "redis", "requests", "requirejs", "rapidjson", "select2", "six", "spdlog", "sqlite", "sqlite3", "stb", "symfony", "three", "tinymce", "tinyxml2", "twig", "underscore",
+    "urllib3", "vue", "xxhash", "yaml-cpp", "zlib", "zstd",
+]
+_VERSIONED = re.compile(r"^[a-z][\w.+]*-v?\d+(?:\.\d+)+$")
 # Names of lockfiles.
 LOCKFILES = [
     "package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "gemfile.lock", "cargo.lock", "poetry.lock",
@@ -65,7 +76,9 @@ def _automaton(phrases: list[str]) -> ahocorasick.Automaton:
     return a
 
 
-_notices, _denials = _automaton(NOTICES), _automaton(DENIALS)
+_notices, _denials, _forbiddings = _automaton(NOTICES), _automaton(DENIALS), _automaton(FORBIDDINGS)
+#: What may follow a phrase that forbids to edit, and stand before it, where it speaks of the file.
+_WHOLE_FILE = re.compile(r"\W*(?:(?:this|the|generated) (?:file|code|source|class|module)|it\b|manually|by hand|directly|or modify|or edit|anything (?:here|in this file)|,|\.|!|$|\*/|-->|;)")
 _HASH, _DASH, _SLASH = r"#[^\n]*", r"--[^\n]*", r"//[^\n]*"
 _BLOCK = r"/\*(?s:.*?)(?:\*/|\Z)"
 _STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
@@ -109,7 +122,8 @@ def split_comments(content: str, lang: str | None) -> tuple[str, str, str]:
 def notice(comments: str) -> bool:
     """Whether a line of these comments is a generation notice that no other phrase denies."""
     for line in comments.lower().splitlines():
-        if any(True for _ in _notices.iter(line)) and not any(True for _ in _denials.iter(line)):
+        told = any(True for _ in _notices.iter(line)) or any(_WHOLE_FILE.match(line, end + 1) for end, _ in _forbiddings.iter(line))
+        if told and not any(True for _ in _denials.iter(line)):
             return True
     return False
 
@@ -124,13 +138,24 @@ def foreign_banner(comments: str) -> bool:
     return bool(_BANNER.search(comments) and _OWNER.search(comments) and _LICENCE.search(comments))
 
 
+def _packaged(folders: list[str], name: str, at: int) -> bool:
+    """Whether what lies in the folder at ``at`` is a package: at the top of a repository one in folders of its own,
+    further down one with the name or version of a library, or whose file is called like its folder."""
+    below = folders[at + 1 :]
+    if not below:
+        return False
+    if at == 0 and (len(below) >= 2 or folders[0].startswith("vendor")):
+        return True
+    return below[0] in LIBRARIES or bool(_VERSIONED.match(below[0])) or below[-1] == name.split(".")[0]
+
+
 def path_rule(path: str | None) -> str | None:
     """``vendored`` or ``generated`` by place or name alone."""
     if not path:
         return None
     parts = [p for p in path.replace("\\", "/").split("/") if p not in ("", ".")]
     folders = [p.lower() for p in parts[:-1]]
-    if folders and folders[0] in VENDOR_FOLDERS or any(f in VENDOR_ANYWHERE for f in folders):
+    if any(f in VENDOR_ANYWHERE for f in folders) or any(_packaged(folders, parts[-1].lower(), k) for k, f in enumerate(folders) if f in VENDOR_FOLDERS):
         return "vendored"
     if parts and (parts[-1].lower() in LOCKFILES or TOOL_SUFFIX.search(parts[-1])):
         return "generated"
@@ -174,19 +199,24 @@ def judge(path: str | None, lang: str | None, content: str | None) -> str | None
     A null content is judged by its path alone; an empty one, and one of comments only, is
     no case wherever it stands.
     """
+    return _looked_at(path, lang, content)[1]
+
+
+def _looked_at(path: str | None, lang: str | None, content: str | None) -> tuple[bool, str | None]:
+    """(whether the file has code, what ``judge`` says)."""
     if content is None:
-        return path_rule(path)
+        return False, path_rule(path)
     head, code, tail = split_comments(content, lang)
     if not _WORDY.search(code):
-        return None
+        return False, None
     if rule := path_rule(path):
-        return rule
+        return True, rule
     if notice(head) or notice(tail):
-        return "generated"
+        return True, "generated"
     if foreign_banner(head):
-        return "vendored"
+        return True, "vendored"
     folders = set((path or "").replace("\\", "/").lower().split("/")[:-1])
-    return shape(code, lang, bool(folders & TOOL_FOLDERS))
+    return True, shape(code, lang, bool(folders & TOOL_FOLDERS))
 
 
 def _judged(discovered: DataFrame) -> DataFrame:
@@ -196,10 +226,9 @@ def _judged(discovered: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths, langs, texts = (batch.column(k).to_pylist() for k in (2, 3, 5))
-            coded = [t is not None and bool(_WORDY.search(split_comments(t, g)[1])) for t, g in zip(texts, langs)]
-            kinds = [judge(p, g, t) for p, g, t in zip(paths, langs, texts)]
+            coded, kinds = zip(*[_looked_at(p, g, t) for p, g, t in zip(paths, langs, texts)]) if texts else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in (0, 1, 2, 3, 4, 6)), pa.array(coded), pa.array(kinds, pa.string())],
+                [*(batch.column(k) for k in (0, 1, 2, 3, 4, 6)), pa.array(coded, pa.bool_()), pa.array(kinds, pa.string())],
                 ["file_id", "repo", "path", "lang", "hash", "text_key", "coded", "kind"],
             )
 
@@ -221,13 +250,13 @@ def classify(discovered: DataFrame, files: DataFrame) -> DataFrame:
         .unionByName(listed)
         .where("key is not null and repo is not null")
         .groupBy("key")
-        .agg(F.min("repo").alias("low"), F.max("repo").alias("high"), F.count(F.lit(1)).alias("__rows"))
+        .agg(F.min("repo").alias("low"), F.max("repo").alias("high"))
         .where("low <> high")
-        .select("key", "__rows")
+        .select("key")
     )
     keyed = judged.where("coded and kind is null").select("file_id", F.explode(F.array_distinct(F.array(F.lower("hash"), "text_key"))).alias("key")).where("key is not null")
-    total = judged.agg(F.count(F.lit(1)).alias("__total"))
-    copied = salted_join(keyed, keys.select("key"), ["key"], keys.crossJoin(F.broadcast(total)), F.col("__total"), ["file_id"])
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("__rows")).crossJoin(F.broadcast(keyed.agg(F.count(F.lit(1)).alias("__total"))))
+    copied = salted_join(keyed, keys, ["key"], sizes, F.col("__total"), ["file_id"])
     copies = copied.select("file_id").distinct().withColumn("copied", F.lit("copied"))
     return judged.join(copies, "file_id", "left").select(
         "file_id", "repo", "path", "lang", F.coalesce("kind", F.when(F.col("coded"), F.col("copied"))).alias("kind")

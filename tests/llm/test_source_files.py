@@ -28,6 +28,18 @@ PROVENANCE = [
     ("app/f.py", "python", FIELDS, "generated"),
     ("vendor/lib/x/a.py", "python", HAND, "vendored"),
     ("app/vendor/rating/a.py", "python", HAND, None),
+    ("web/assets/vendor/jquery/jquery.js", "javascript", "var a = 1;\n", "vendored"),
+    ("src/external/zlib/inflate.c", "c", "int x = 1;\n", "vendored"),
+    ("lib/deps/parser-2.4.1/x.py", "python", HAND, "vendored"),
+    ("deps/report.py", "python", HAND, None),
+    ("external/api_client.py", "python", HAND, None),
+    ("external/zlib/part/inflate.py", "python", HAND, "vendored"),
+    ("src/deps/solver/order.py", "python", HAND, None),
+    ("app/a.py", "python", "# Do not edit prices here by hand.\n" + HAND, None),
+    ("app/a.py", "python", "# Please do not edit the totals while a run is open.\n" + HAND, None),
+    ("app/a.py", "python", "# DO NOT EDIT\n" + HAND, "generated"),
+    ("app/a.py", "python", "# Do not modify this file by hand.\n" + HAND, "generated"),
+    ("app/a.py", "python", "# Nicht bearbeiten!\n" + HAND, "generated"),
     ("app/minimum_stock/bundle_price.js", "javascript", "import { a } from './b';\nconst f = (x) => {\n    return x + a;\n};\n", None),
     ("public/x.min.js", "javascript", "var a=1;", "generated"),
     ("public/x.js", "javascript", "".join(f"function f{i}(a,b){{var c=a*{i};if(c>b)return b;return c}}" for i in range(20)), "minified"),
