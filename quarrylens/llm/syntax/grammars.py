@@ -27,7 +27,7 @@ ifs: 'if' named ':' suite ('elif' named ':' suite)* ('else' ':' suite)?
 whiles: 'while' named ':' suite ('else' ':' suite)?
 fors: 'for' targets 'in' starexprs ':' suite ('else' ':' suite)?
 tries: 'try' ':' suite (except+ ('else' ':' suite)? ('finally' ':' suite)? | 'finally' ':' suite)
-except: 'except' '*'? (test (',' test)* ('as' IDENT)?)? ':' suite
+except: 'except' ':' suite | 'except' '*'? test ('as' IDENT)? ':' suite
 withs: 'with' withitem (',' withitem)* ':' suite | 'with' '(' withitem (',' withitem)* ','? ')' ':' suite
 withitem: test ('as' target)?
 funcdef: 'def' IDENT tparams? '(' params? ')' ('->' starexprs)? ':' suite
