@@ -22,7 +22,10 @@ BLOCK_TOKENS = 256
 MAX_SOURCES = 10_000
 #: Slots that are ranked together, and documents that are put in order together.
 CHUNK_SLOTS, CHUNK_DOCUMENTS = 65_536, 20_000
-GOLDEN = (math.sqrt(5) - 1) / 2
+#: Points are whole numbers under 2 to the BITS: multiples of the golden ratio of that range, modulo the range.
+BITS, CELL_BITS = 62, 16
+_HALF = (1 << BITS // 2) - 1
+GOLDEN = (math.isqrt(5 << 2 * BITS) - (1 << BITS)) // 2 | 1
 
 
 def source_name(source: Column) -> Column:
@@ -67,25 +70,37 @@ def _targets(mix_targets: DataFrame) -> dict[str, tuple[float, int | None]]:
     return {r.source: (float(r.w), None if r.cap is None else int(r.cap)) for r in found}
 
 
+def point(slot: Column) -> Column:
+    """``slot * GOLDEN`` modulo 2 to the BITS, exact for slots below 2 to the BITS, by halves that never overflow."""
+    low, high = slot.bitwiseAND(F.lit(_HALF)), F.shiftright(slot, BITS // 2)
+    g_low, g_high = F.lit(GOLDEN & _HALF), F.lit(GOLDEN >> BITS // 2)
+    upper = (high * g_low).bitwiseAND(F.lit(_HALF)) + (low * g_high).bitwiseAND(F.lit(_HALF))
+    return (low * g_low + F.shiftleft(upper.bitwiseAND(F.lit(_HALF)), BITS // 2)).bitwiseAND(F.lit((1 << BITS) - 1))
+
+
 def schedule(spark, slots: dict[str, int]) -> DataFrame:
     """(slot, source, block): each source's blocks 0..n-1, each once, spread evenly over the slots.
 
-    The points give a source its number of slots but for a few; the slots it has too many
-    (their number grows as the logarithm of all) take the blocks others have left over.
+    The points give a source its number of slots but for a few: as the golden ratio has the
+    least partial quotients of all, a stretch of n points is off by at most 3 + log2(n). The
+    slots a source has too many take the blocks others have left over; that many rows for
+    each source at most are broadcast, which is checked.
     """
     names, total = sorted(slots), sum(slots.values())
     if not total:
         return spark.createDataFrame([], "slot long, source string, block long")
-    bounds, reached = [], 0
+    cells, reached, shift = [], 0, BITS - CELL_BITS
     for n in names:
-        bounds.append((n, reached / total, (reached + slots[n]) / total if n != names[-1] else 2.0))
+        low, high = (reached << BITS) // total, (reached + slots[n] << BITS) // total
         reached += slots[n]
-    ranges = F.broadcast(spark.createDataFrame(bounds, "source string, low double, high double"))
-    point = (F.col("id") + F.lit(0.5)) * F.lit(GOLDEN)
+        cells += [(cell, n, low, high) for cell in range(low >> shift, (high - 1 >> shift) + 1)]
+    ranges = F.broadcast(spark.createDataFrame(cells, "cell long, source string, low long, high long"))  # 2 ** CELL_BITS rows and one for each source
     drawn = (
         spark.range(total)
-        .select(F.col("id").alias("slot"), (point - F.floor(point)).alias("u"), F.floor(F.col("id") / CHUNK_SLOTS).alias("chunk"))
-        .join(ranges, (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
+        .select(F.col("id").alias("slot"), point(F.col("id") + 1).alias("u"), F.floor(F.col("id") / CHUNK_SLOTS).alias("chunk"))
+        .withColumn("cell", F.shiftright("u", shift))
+        .join(ranges, "cell")
+        .where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
         .select("slot", "chunk", "source")
     )
     chunks = drawn.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"))
@@ -95,6 +110,8 @@ def schedule(spark, slots: dict[str, int]) -> DataFrame:
     got = {r.source: r.n for r in chunks.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # one row for each target
     over = [(n, b) for n in names for b in range(slots[n], got.get(n, 0))]
     under = [(n, b) for n in names for b in range(got.get(n, 0), slots[n])]
+    if len(over) > len(names) * (3 + total.bit_length()):
+        raise AssertionError(f"{len(over)} slots beyond the bound of the sequence")
     if not over:
         return ranked
     swaps = F.broadcast(spark.createDataFrame([(*o, *u) for o, u in zip(over, under)], "source string, block long, to_source string, to_block long"))

@@ -48,6 +48,23 @@ def test_plan_keeps_shares_and_caps():
     assert mixture.plan({}, {"a": 1}) == {}
 
 
+def test_points_are_exact_and_never_meet(spark):
+    ids = [1, 2, 3, 2**31 - 1, 2**31, 10**11 + 7, 2**45 + 12345]
+    frame = spark.createDataFrame([(i,) for i in ids], "i long").select("i", mixture.point(F.col("i")).alias("u"))
+    assert {r.i: r.u for r in frame.collect()} == {i: i * mixture.GOLDEN % (1 << mixture.BITS) for i in ids}
+    far = spark.range(10**11, 10**11 + 200_000).select(mixture.point(F.col("id")).alias("u"))
+    assert far.distinct().count() == 200_000
+
+
+def test_schedule_gives_every_block_once(spark):
+    slots = {"a": 70_001, "b": 29_998, "c": 1, "d": 3}
+    rows = mixture.schedule(spark, slots).collect()
+    assert sorted((r.source, r.block) for r in rows) == [(s, k) for s in sorted(slots) for k in range(slots[s])]
+    assert sorted(r.slot for r in rows) == list(range(sum(slots.values())))
+    near = sum(r.source == "a" for r in rows if r.slot < 1000)
+    assert abs(near - 700) <= 12
+
+
 @TOKENIZERS
 def test_mixture_is_whole_and_even(spark):
     docs = spark.createDataFrame([(i, f"word{i} " * (5 + i % 40), ["A_b", "a b", "c"][i % 3]) for i in range(300)] + [(999, None, "c"), (998, "", "c"), (997, "x", None)], "doc_id long, text string, source string")
