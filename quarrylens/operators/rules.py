@@ -83,7 +83,8 @@ def conflicts(rules: DataFrame, shared: int = 2, floor: float = 0.7) -> DataFram
 def staged(rules: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, evidence) of rules and conflicts: IMPLEMENTS_RULE from anchors, CONTRADICTS from conflicts to both anchors."""
     as_node = lambda df, uid, claim: df.select(F.col(uid).alias("uid"), F.lit("BusinessRule").alias("kind"), F.left(F.col(claim), F.lit(80)).alias("name"), F.to_json(F.struct(F.col(claim).alias("claim"))).alias("payload"))
-    nodes = as_node(rules, "rule", "claim").unionByName(as_node(found, "conflict", "documented_claim")).dropDuplicates(["uid"])
+    first = lambda df, uid, claim: df.groupBy(uid).agg(F.min(claim).alias(claim))
+    nodes = as_node(first(rules, "rule", "claim"), "rule", "claim").unionByName(as_node(first(found, "conflict", "documented_claim"), "conflict", "documented_claim"))
     edges = rules.select(F.col("anchor").alias("src"), F.col("rule").alias("dst"), F.lit("IMPLEMENTS_RULE").alias("kind"), "confidence")
     anchors = rules.select("rule", "anchor").distinct()
     sides = found.select("conflict", F.explode(F.array("documented", "observed")).alias("rule")).join(anchors, "rule")

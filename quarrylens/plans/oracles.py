@@ -206,8 +206,22 @@ ORACLES = {
         SELECT uid, round(max(score), 4) AS score FROM (SELECT * FROM s1 UNION ALL SELECT * FROM h2) GROUP BY 1""",
     "preflight_risk": f"""WITH {_EDGES}, d AS (SELECT a.path, count(DISTINCT b.path) AS dependants FROM calls JOIN n a ON a.uid = dst JOIN n b ON b.uid = src WHERE a.path <> b.path GROUP BY 1)
         SELECT path, dependants, CASE WHEN dependants >= 10 THEN 'HIGH' WHEN dependants >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM d""",
-    "canonical_dump": f"""WITH {_NODES} SELECT concat_ws(chr(9), 'N', uid, kind, coalesce(name, ''), coalesce(path, ''), coalesce(CAST(line_start AS VARCHAR), ''), coalesce(CAST(line_end AS VARCHAR), ''), coalesce(lang, ''), coalesce(top_status, ''), printf('%.4f', top)) AS line FROM n JOIN st USING (uid)""",
-    "co_change": f"WITH {_CO} SELECT repo, path_a, path_b, support, CAST(round(least(0.4 + 0.05 * support, 0.85), 4) AS DOUBLE) AS confidence FROM pairs ORDER BY support DESC, repo, path_a, path_b LIMIT 20000",
+    "canonical_dump": f"""WITH {_EDGES}, {_CO.strip()},
+        e AS (SELECT src, dst, 'CALLS' AS kind, status, confidence FROM (
+            SELECT src, dst, arg_min(status, (confidence, status)) AS status, max(confidence) AS confidence FROM (
+              SELECT src, dst, 'CONFIRMED' AS status, CAST(0.5 AS DOUBLE) AS confidence FROM nest
+              UNION ALL SELECT from_uid, r.uid, CASE WHEN confidence >= 0.9 THEN 'CONFIRMED' ELSE 'INFERRED' END, CAST(confidence AS DOUBLE) FROM resolved r WHERE from_uid IN (SELECT uid FROM n)) GROUP BY 1, 2)
+          UNION ALL SELECT 'file:' || path_a, 'file:' || path_b, 'CO_CHANGES_WITH', 'OBSERVED', max(CAST(round(least(0.4 + 0.05 * support, 0.85), 4) AS DOUBLE)) FROM pairs
+          WHERE 'file:' || path_a IN (SELECT uid FROM n) AND 'file:' || path_b IN (SELECT uid FROM n) GROUP BY 1, 2)
+        SELECT concat_ws(chr(9), 'N', uid, kind, coalesce(name, ''), coalesce(path, ''), coalesce(CAST(line_start AS VARCHAR), ''), coalesce(CAST(line_end AS VARCHAR), ''), coalesce(lang, ''), coalesce(top_status, ''), printf('%.4f', top)) AS line FROM n JOIN st USING (uid)
+        UNION ALL SELECT concat_ws(chr(9), 'E', src, dst, kind, status, printf('%.4f', confidence)) FROM e""",
+    "impact_of_symbol": f"""WITH {_EDGES}, o AS (SELECT uid FROM n WHERE kind = 'Symbol' AND lower(name) LIKE 'release%'),
+        d1 AS (SELECT DISTINCT src AS uid FROM calls WHERE dst IN (SELECT uid FROM o) AND src NOT IN (SELECT uid FROM o)),
+        d2 AS (SELECT DISTINCT src AS uid FROM calls WHERE dst IN (SELECT uid FROM d1) AND src NOT IN (SELECT uid FROM o) AND src NOT IN (SELECT uid FROM d1)),
+        r AS (SELECT uid, 0 AS distance FROM o UNION ALL SELECT uid, 1 FROM d1 UNION ALL SELECT uid, 2 FROM d2),
+        best AS (SELECT src AS uid, max(confidence) AS c FROM calls WHERE dst IN (SELECT uid FROM r) GROUP BY 1)
+        SELECT r.uid, distance, round(CAST(c AS DOUBLE), 4) AS confidence, 'calls' AS how FROM r JOIN best USING (uid) WHERE distance > 0 ORDER BY distance, c DESC, uid LIMIT 60""",
+    "co_change": f"WITH {_CO} SELECT repo, path_a, path_b, support, CAST(round(least(0.4 + 0.05 * support, 0.85), 4) AS DOUBLE) AS confidence FROM pairs",
     "term_prior": f"""WITH {_COMMITS}, e AS (SELECT unnest({_meaningful('subject')}[1:12]) AS term, files FROM c WHERE subject IS NOT NULL),
         x AS (SELECT term, unnest(files) AS path FROM e), p AS (SELECT term, path, count(*) AS n FROM x GROUP BY 1, 2),
         s AS (SELECT term, path, n, ln(CAST(n AS DOUBLE) * sum(n) OVER () / (sum(n) OVER (PARTITION BY term) * sum(n) OVER (PARTITION BY path))) AS pmi FROM p),
@@ -253,7 +267,7 @@ ORACLES = {
                round((p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n), 4) AS high FROM g""",
     "event_stream": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "report_scorecard": f"""WITH {_EDGES}, {_CO.split('pairs AS', 1)[0].strip().rstrip(',')}, pairs AS {_CO.split('pairs AS', 1)[1]},
-        ce AS (SELECT 1 FROM (SELECT * FROM pairs ORDER BY support DESC, repo, path_a, path_b LIMIT 20000) WHERE 'file:' || path_a IN (SELECT uid FROM n) AND 'file:' || path_b IN (SELECT uid FROM n))
+        ce AS (SELECT 1 FROM pairs WHERE 'file:' || path_a IN (SELECT uid FROM n) AND 'file:' || path_b IN (SELECT uid FROM n))
         SELECT count(*) FILTER (kind = 'File') AS files, count(*) FILTER (kind = 'Symbol') AS symbols, 0 AS sections, 0 AS concepts, 0 AS tables, 0 AS rules, 0 AS commits, CAST(0 AS DOUBLE) AS documented_share,
                (SELECT count(*) FROM calls) + (SELECT count(*) FROM ce) AS edges FROM n""",
     "code_phrases": f"""WITH {_NODES}, w AS (SELECT uid, {_split('name')} AS w FROM n WHERE kind = 'Symbol'), lim AS (SELECT greatest(count(*) * 0.5, 25) AS l FROM w),
@@ -267,16 +281,8 @@ ORACLES = {
         hit AS (SELECT label, uid FROM l JOIN idx USING (word) JOIN need USING (label) GROUP BY label, uid, need HAVING count(*) = need),
         g AS (SELECT label, least(count(*), 24) AS grounded, trim(regexp_replace(upper(label), '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '_') AS concept FROM hit GROUP BY label)
         SELECT concept, min(label) AS label, CAST(max(grounded) AS BIGINT) AS grounded FROM g GROUP BY concept ORDER BY grounded DESC, concept LIMIT 400""",
-    "rule_conflicts": """SELECT * FROM (VALUES
-        ('Orders of strategic customers must get an approval', 'strategic customers orders skip approval', 'approval', CAST(3 AS BIGINT)),
-        ('Returned goods are exempt from approval', 'Approval of returned goods is required', 'approval', CAST(2 AS BIGINT))) t(documented_claim, observed_claim, subject, shared)""",
-    "corroborate": """WITH r AS (SELECT * FROM (VALUES ('document', 'require', 'Orders of strategic customers must get an approval', 0.7), ('code_guard', 'bypass', 'strategic customers orders skip approval', 0.8),
-          ('test', 'require', 'strategic orders require approval', 0.9), ('document', 'bypass', 'Returned goods are exempt from approval', 0.7), ('code_doc', 'require', 'Approval of returned goods is required', 0.72)) v(source, polarity, claim, c)),
-        k AS (SELECT *, (SELECT count(DISTINCT source) FROM r o WHERE o.polarity = r.polarity) - 1 AS others FROM r)
-        SELECT claim, CAST(others AS INTEGER) AS corroborated, CASE WHEN others > 0 THEN round(least(CAST(c AS DOUBLE) * (1 + CAST(0.15 AS DOUBLE) * others), 0.97), 4) ELSE CAST(c AS DOUBLE) END AS confidence, CASE WHEN others >= 2 THEN 'OBSERVED' ELSE 'INFERRED' END AS status FROM k""",
     "coverage_by_language": f"""WITH {_EDGES}, {_CO.strip()},
-        top AS (SELECT * FROM pairs ORDER BY support DESC, repo, path_a, path_b LIMIT 20000),
-        e AS (SELECT src, dst FROM calls UNION SELECT 'file:' || path_a, 'file:' || path_b FROM top),
+        e AS (SELECT src, dst FROM calls UNION SELECT 'file:' || path_a, 'file:' || path_b FROM pairs),
         entered AS (SELECT DISTINCT b.path FROM e JOIN n a ON a.uid = e.src JOIN n b ON b.uid = e.dst WHERE a.path <> b.path),
         f AS (SELECT path, max(lang) AS lang FROM n WHERE kind = 'File' AND path IS NOT NULL GROUP BY path),
         g AS (SELECT lang, count(*) AS files, count(*) FILTER (path IN (SELECT path FROM entered)) AS covered FROM f GROUP BY lang)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import text as T
 from quarrylens.operators import budget, concepts, evaluate, extract, graph, history, incremental, ranking, resolve, rules, search
-from quarrylens.plans import answers, tables
+from quarrylens.plans import answers, function_queries, tables
 from quarrylens.plans.oracles import ORACLES
+from quarrylens.plans.rule_sql import RULE_ORACLES
 from quarrylens.runtime import cut, pick, table
 from quarrylens.sources import files as repo_files
 from quarrylens.streaming import listings
@@ -207,10 +208,11 @@ def symbol_bodies(s: SparkSession, d: str) -> DataFrame:
 
 def mined_rules(s: SparkSession, d: str) -> DataFrame:
     """Rules that sections, documentations, names of tests and guards state, each once for its anchor, with corroboration."""
-    sec = pick(table(s, d, "sections"), "section_id", "path", "line_no", "body").dropDuplicates(["section_id"])
+    sec = pick(table(s, d, "sections"), "section_id", "path", "line_no", "body").where("body is not null")
+    sec = sec.groupBy("section_id").agg(F.max(F.struct("body", "path", "line_no")).alias("r")).select("section_id", "r.*")
     docs = rules.mine_documents(sec.select(F.concat(F.lit("doc:"), F.col("section_id").cast("string")).alias("uid"), "path", "line_no", "body"))
-    told = pick(table(s, d, "why_answers"), "location", "signature", "documentation").where("location is not null").groupBy("location").agg(F.max(F.struct("documentation", "signature")).alias("r"))
-    told = told.select(F.concat(F.lit("at:"), "location").alias("uid"), F.lit("").alias("name"), F.lit("code").alias("path"), F.lit(0).alias("line_start"), "r.documentation", F.lit("").alias("body"))
+    told = pick(table(s, d, "why_answers"), "location", "documentation").where("location is not null").groupBy("location").agg(F.max("documentation").alias("documentation"))
+    told = told.select(F.concat(F.lit("at:"), "location").alias("uid"), F.lit("").alias("name"), F.lit("code").alias("path"), F.lit(0).alias("line_start"), "documentation", F.lit("").alias("body"))
     code = rules.mine_code(told).unionByName(rules.mine_code(symbol_bodies(s, d)))
     return rules.corroborate(rules.distinct_rules(cut(docs.unionByName(code))))
 
@@ -223,6 +225,48 @@ def corroborated(s: SparkSession, d: str) -> DataFrame:
     return mined_rules(s, d).select("claim", "corroborated", "confidence", "status")
 
 
+def rule_listing(s: SparkSession, d: str) -> DataFrame:
+    return rules.strong_rules(mined_rules(s, d)).select("rule", "subject", "polarity", "source", "anchor", "location", "confidence")
+
+
+def _staged_rules(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sure = cut(mined_rules(s, d))
+    return rules.staged(sure, cut(rules.conflicts(sure)))
+
+
+def rule_nodes(s: SparkSession, d: str) -> DataFrame:
+    return _staged_rules(s, d)[0].select("uid", "name")
+
+
+def rule_edges(s: SparkSession, d: str) -> DataFrame:
+    return _staged_rules(s, d)[1].select("src", "dst", "kind").distinct().groupBy("src", "dst", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rule_evidence(s: SparkSession, d: str) -> DataFrame:
+    return _staged_rules(s, d)[2].distinct()
+
+
+def _section_sentences(s: SparkSession, d: str) -> DataFrame:
+    rows = pick(table(s, d, "sections"), "section_id", "body").where("body is not null")
+    return rows.groupBy("section_id").agg(T.sentences(F.max("body")).alias("said"))
+
+
+def claim_sentences(s: SparkSession, d: str) -> DataFrame:
+    """How many sentences each section has, and how many of them can be checked and oblige or exempt."""
+    count = lambda test: F.size(F.filter("said", test)).cast("long")
+    return _section_sentences(s, d).select("section_id", F.size("said").cast("long").alias("sentences"), count(T.is_checkable).alias("checkable"), count(T.has_modal).alias("modal"))
+
+
+def phrase_subjects(s: SparkSession, d: str) -> DataFrame:
+    rows = pick(table(s, d, "sections"), "body").where("body is not null").select(F.explode(T.sentences("body")).alias("c")).select(T.classify_phrase("c").alias("said"))
+    return rows.where("said is not null").groupBy(F.concat_ws("|", "said.subject", "said.polarity").alias("said")).agg(F.count(F.lit(1)).alias("sentences"))
+
+
+def human_names(s: SparkSession, d: str) -> DataFrame:
+    rows = pick(table(s, d, "nodes"), "name").where("name is not null").distinct()
+    return rows.select("name", T.humanise("name").alias("words"))
+
+
 def rules_by_side(s: SparkSession, d: str) -> DataFrame:
     return mined_rules(s, d).groupBy("source", "subject", "polarity").agg(F.count(F.lit(1)).alias("rules"), F.round(F.max("confidence"), 4).alias("confidence"))
 
@@ -340,6 +384,13 @@ def queries() -> dict[str, Query]:
         "mined_rules": rules_by_side,
         "rule_conflicts": rule_conflicts,
         "corroborate": corroborated,
+        "rule_listing": rule_listing,
+        "rule_nodes": rule_nodes,
+        "rule_edges": rule_edges,
+        "rule_evidence": rule_evidence,
+        "claim_sentences": claim_sentences,
+        "phrase_subjects": phrase_subjects,
+        "human_names": human_names,
         "table_access": table_access,
         "declared_symbols": declared_symbols,
         "repo_fingerprint": repo_fingerprint,
@@ -354,8 +405,8 @@ def queries() -> dict[str, Query]:
         "budget_select": budget_select,
         "context_answer": context_answer,
         "event_stream": event_stream,
-    }
+    } | function_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES
+    return ORACLES | RULE_ORACLES | function_queries.SQL
