@@ -27,13 +27,15 @@ def _joined(items: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.collect_list(items))))
 
 
-def delivered_baskets(commits: DataFrame, least: int = 1, steps: int = 1) -> DataFrame:
-    """(basket, grp, batch, items): the files of each commit that reached us in each of ``steps`` spans of time.
-
-    Commits are one basket by sha without letter case; those without a time come with the first
-    batch. A commit without files is an empty basket: it counts in its repository. Items that
-    fewer than ``least`` baskets of their group hold are left out. Rows without sha or repository
-    are left out; a sha seen in two repositories is a basket in each.
+def delivered_baskets(commits: DataFrame, least: int = 1, steps: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(baskets, names): the files of each commit that reached us in each of ``steps`` spans of time.
+
+    Baskets are (basket, grp, batch, items); names (grp, item, code) gives the short codes that
+    stand for the files in ``items``, which keeps the rows of their pairs small. Commits are one
+    basket by sha without letter case; those without a time come with the first batch. A commit
+    without files is an empty basket: it counts in its repository. Items that fewer than
+    ``least`` baskets of their group hold are left out. Rows without sha or repository are left
+    out; a sha seen in two repositories is a basket in each.
     """
     rows = pick(commits, "sha", "repo", "files", "ingested_at").where("sha is not null and repo is not null")
     at = F.col("ingested_at").cast("timestamp").cast("double")
@@ -42,14 +44,14 @@ def delivered_baskets(commits: DataFrame, least: int = 1, steps: int = 1) -> Dat
     if steps > 1 and span.low is not None and span.high > span.low:
         batch = F.coalesce(F.least(F.floor((at - span.low) / ((span.high - span.low) / steps)), F.lit(steps - 1)), F.lit(0))
     rows = rows.select(F.lower("sha").alias("basket"), F.col("repo").alias("grp"), batch.cast("int").alias("batch"), "files")
-    opened = rows.select("basket", "grp", "batch", F.explode("files").alias("item")).where("item is not null").distinct()
-    counted = opened.select("basket", "grp", "item").distinct().groupBy("grp", "item").agg(F.count(F.lit(1)).alias("__rows"))
-    kept = counted.where(F.col("__rows") >= least)
-    if least > 1:
-        total = counted.agg(F.sum("__rows").alias("__total"))
-        opened = salted_join(opened, kept.select("grp", "item"), ["grp", "item"], kept.crossJoin(F.broadcast(total)), F.col("__total"), ["basket"])
-    heads = rows.select("basket", "grp", "batch", F.lit(None).cast("string").alias("item"))
-    return opened.select(*heads.columns).unionByName(heads).groupBy("basket", "grp", "batch").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    opened = rows.select("basket", "grp", "batch", F.explode(F.array_distinct("files")).alias("item")).where("item is not null")
+    counted = opened.groupBy("grp", "item").agg(F.count_distinct("basket").alias("n"), F.count(F.lit(1)).alias("__rows"))
+    names = cut(counted.where(F.col("n") >= least).select("grp", "item", "__rows", F.lower(F.conv(F.monotonically_increasing_id().cast("string"), 10, 36)).alias("code")))
+    total = names.agg(F.sum("__rows").alias("__total"))
+    coded = salted_join(opened, names.select("grp", "item", "code"), ["grp", "item"], names.select("grp", "item", "__rows").crossJoin(F.broadcast(total)), F.col("__total"), ["basket"])
+    heads = rows.select("basket", "grp", "batch", F.lit(None).cast("string").alias("code"))
+    baskets = coded.select(*heads.columns).unionByName(heads).groupBy("basket", "grp", "batch").agg(F.array_sort(F.collect_set("code")).alias("items"))
+    return baskets, names.select("grp", "item", "code")
 
 
 def deltas(before: DataFrame | None, after: DataFrame) -> DataFrame:
@@ -204,7 +206,7 @@ class PairTable:
         return rescored.where("shared is not null")
 
 
-def found(commits: DataFrame, shared: int = 5, times: int = 3, steps: int = 2, root: str | None = None) -> DataFrame:
+def found(commits: DataFrame, shared: int = 5, times: int = 3, steps: int = 2) -> DataFrame:
     """File pairs of a repository changed together in ``shared`` commits at least, ``times`` as often as chance.
 
     The deliveries reach a ``PairTable`` in ``steps`` batches by their time (those without a time
@@ -212,9 +214,9 @@ def found(commits: DataFrame, shared: int = 5, times: int = 3, steps: int = 2, r
     out of the baskets: no pair of them can be a case, and no other count depends on them.
     """
     spark = commits.sparkSession
-    spark_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = PairTable(spark, root or scratch_path(spark, "pairs"), buckets=max(8, spark_partitions), least=shared)
-    delivered = cut(delivered_baskets(commits, shared, steps))
+    table = PairTable(spark, scratch_path(spark, "pairs"), buckets=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), least=shared)
+    baskets, names = delivered_baskets(commits, shared, steps)
+    delivered = cut(baskets)
     for k in range(steps):
         both = delivered.where(F.col("batch") <= k).groupBy("basket", "grp").agg(
             F.max("batch").alias("last"), F.min("batch").alias("first"), _joined(F.col("items")).alias("items"), _joined(F.when(F.col("batch") < k, F.col("items"))).alias("known")
@@ -223,4 +225,6 @@ def found(commits: DataFrame, shared: int = 5, times: int = 3, steps: int = 2, r
         before = changed.where(F.col("first") < k).select("basket", "grp", F.col("known").alias("items"))
         table.update(before if k else None, changed.select("basket", "grp", "items"))
     hits = table.scores().where((F.col("shared") >= shared) & (F.col("shared") * F.col("total") >= times * F.col("count_a") * F.col("count_b")))
-    return hits.select(F.col("grp").alias("repo"), F.col("a").alias("path_a"), F.col("b").alias("path_b"))
+    for side in ("a", "b"):
+        hits = hits.join(names.select("grp", F.col("item").alias(f"path_{side}"), F.col("code").alias(side)), ["grp", side])
+    return hits.select(F.col("grp").alias("repo"), F.least("path_a", "path_b").alias("path_a"), F.greatest("path_a", "path_b").alias("path_b"))
