@@ -52,6 +52,24 @@ def select(candidates: Iterable[dict], budget: int) -> list[dict]:
     return taken
 
 
+def contenders(candidates: DataFrame, budget: int) -> DataFrame:
+    """The candidates that ``select`` may take, all others left out: exact, and bounded by the budget.
+
+    candidates: query, uid, kind, score, tokens, conflicted. Of nodes of one kind and cost, those with
+    more score come first, and no more than the budget holds fit; the best of a kind is kept by the
+    order in which ``select`` picks it.
+    """
+    cost = F.greatest(F.col("tokens"), F.lit(1))
+    alike = F.row_number().over(Window.partitionBy("query", "kind", "tokens").orderBy(F.desc("score"), "uid"))
+    best = F.row_number().over(Window.partitionBy("query", "kind").orderBy(F.desc("score"), F.desc("uid")))
+    always = candidates.where("conflicted")
+    free = candidates.where("not conflicted and tokens <= 0")
+    fitting = candidates.where(~F.col("conflicted") & F.col("tokens").between(1, budget))
+    first = fitting.withColumn("__k", alike).where(F.col("__k") <= budget).where(F.col("__k") <= F.floor(F.lit(budget) / cost)).drop("__k")
+    top = fitting.withColumn("__k", best).where(F.col("__k") <= 1).drop("__k")
+    return always.unionByName(free).unionByName(first).unionByName(top).dropDuplicates(["query", "uid"])
+
+
 def select_each(candidates: DataFrame, budget: int) -> DataFrame:
     """(query, uid, place) of the selection for each query; a query's candidates are its top list."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions import text as T
-from quarrylens.runtime import pick
+from quarrylens.runtime import cut, pick, salted_join
 
 
 def commits(df: DataFrame) -> DataFrame:
@@ -45,28 +45,52 @@ def co_changed_with(pairs: DataFrame, path: str) -> DataFrame:
     return left.unionByName(pairs.where(F.col("path_b") == path).select(F.col("path_a").alias("path"), "support"))
 
 
-def term_prior(df: DataFrame, terms_each: int = 12, per_term: int = 40, support: int = 2) -> DataFrame:
-    """(term, path, n, score): how strongly a term of subjects points to a file.
+def commit_terms(df: DataFrame, terms_each: int = 12, terms_with_body: int = 24, body_words: int = 80, most_files: int = 20) -> DataFrame:
+    """(repo, terms, files): the stems of the words of each commit's subject, then of the first words of its body if there is one.
 
-    Score: pointwise mutual information times ln(1 + n), of pairs with ``support`` uses and
-    a positive information; margins count pairs before that filter. The ``per_term`` best
-    files of each term are kept.
+    Each stem counts once, up to ``terms_each`` of them, or ``terms_with_body``. Commits of more
+    than ``most_files`` files are sweeps and say nothing.
     """
-    each = commits(df).where("subject is not null").select(F.explode(F.slice(T.meaningful_words("subject"), 1, terms_each)).alias("term"), "files")
-    pairs = each.select("term", F.explode("files").alias("path")).groupBy("term", "path").agg(F.count(F.lit(1)).alias("n"))
-    terms = pairs.groupBy("term").agg(F.sum("n").alias("term_n"))
-    paths = pairs.groupBy("path").agg(F.sum("n").alias("path_n"))
-    total = pairs.agg(F.sum("n").alias("all_n"))
-    joined = pairs.where(F.col("n") >= support).join(terms, "term").join(paths, "path").crossJoin(F.broadcast(total))
-    pmi = F.log(F.col("n") * F.col("all_n") / (F.col("term_n") * F.col("path_n")))
+    named = commits(df).where((F.size("files") <= most_files)).select("sha", "repo", "subject", "files")
+    told = F.array().cast("array<string>")
+    if "body" in df.columns:
+        bodies = pick(df, "sha", "body").where("sha is not null and body is not null").groupBy(F.lower("sha").alias("sha")).agg(F.max("body").alias("body"))
+        named = named.join(bodies, "sha", "left")
+        first = F.array_join(F.slice(F.filter(F.split("body", r"\s+"), lambda w: w != ""), 1, body_words), " ")
+        told = F.coalesce(T.meaningful_words(first), told)
+    stems = F.array_distinct(F.transform(F.concat(F.coalesce(T.meaningful_words("subject"), F.array().cast("array<string>")), told), T.stem))
+    return named.select("repo", F.slice(stems, 1, F.when(F.size(told) > 0, F.lit(terms_with_body)).otherwise(F.lit(terms_each))).alias("terms"), "files")
+
+
+def term_prior(df: DataFrame, present: DataFrame | None = None, per_term: int = 40, support: int = 2, **limits: int) -> DataFrame:
+    """(term, path, n, score): how strongly a stem in commits points to a file.
+
+    Only files of ``present`` (repo, path) count where it is given. Score: pointwise mutual
+    information times ln(1 + n), of pairs with ``support`` uses and a positive information;
+    margins count pairs before that filter. The ``per_term`` best files of each term are kept.
+    Margins join through spread keys, so a term or file of a large share of all pairs is no
+    partition of its own.
+    """
+    each = commit_terms(df, **limits).select("repo", "terms", F.explode("files").alias("path")).where("path is not null")
+    if present is not None:
+        each = each.join(present.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+    pairs = cut(each.select(F.explode("terms").alias("term"), "path").groupBy("term", "path").agg(F.count(F.lit(1)).alias("n")))
+    terms = pairs.groupBy("term").agg(F.sum("n").alias("term_n"), F.count(F.lit(1)).alias("__rows"))
+    paths = pairs.groupBy("path").agg(F.sum("n").alias("path_n"), F.count(F.lit(1)).alias("__rows"))
+    total = pairs.agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("__total"))
+    sized = lambda margin, key: margin.select(key, "__rows").crossJoin(F.broadcast(total.select("__total")))
+    joined = salted_join(pairs.where(F.col("n") >= support), terms.drop("__rows"), ["term"], sized(terms, "term"), F.col("__total"), ["path"])
+    joined = salted_join(joined, paths.drop("__rows"), ["path"], sized(paths, "path"), F.col("__total"), ["term"]).crossJoin(F.broadcast(total.select("all_n")))
+    pmi = F.log(F.col("n").cast("double") * F.col("all_n") / (F.col("term_n").cast("double") * F.col("path_n")))
     scored = joined.withColumn("pmi", pmi).where("pmi > 0").select("term", "path", "n", F.round(F.col("pmi") * F.log1p("n"), 4).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "path"))
+    rank = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "path"))  # cut to per_term rows before the shuffle
     return scored.withColumn("rank", rank).where(F.col("rank") <= per_term).drop("rank")
 
 
 def prior_for(prior: DataFrame, words: list[str], most: int = 8) -> DataFrame:
-    """(path, score) of the files the given words point to, best first."""
-    return prior.where(F.col("term").isin(words)).groupBy("path").agg(F.round(F.sum("score"), 4).alias("score")).orderBy(F.desc("score"), "path").limit(most)
+    """(path, score) of the files the stems of the given words point to, best first."""
+    asked = F.transform(F.array(*[F.lit(w) for w in words]), T.stem) if words else F.array().cast("array<string>")
+    return prior.where(F.array_contains(asked, F.col("term"))).groupBy("path").agg(F.round(F.sum("score"), 4).alias("score")).orderBy(F.desc("score"), "path").limit(most)
 
 
 EXPLAINING = ["fix", "feature", "refactor", "revert"]

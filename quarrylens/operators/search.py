@@ -5,10 +5,10 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylens.functions import text as T
 
 
 def tokens(text: Column) -> Column:
@@ -16,18 +16,78 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z_][a-z0-9_]{2,})"), F.lit(1))
 
 
+# Latin letters with diacritics; what they fold to follows from Unicode.
+ACCENTED = "àáâãäåāăąạảấầẩẫậắằẳẵặçćčďđèéêëēėęěẹẻẽếềểễệìíîïīįịỉĩñńňòóôõöøōőọỏốồổỗộớờởỡợơùúûüūůűụủứừửữựưýÿỳỵỷỹžźżšśřť"
+PLAIN = "".join({"đ": "d", "ø": "o"}.get(c) or unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
+
+
 def fold(text: Column) -> Column:
-    """Lower case without the diacritics of Latin letters, for tokens of any script."""
-    # Latin letters with diacritics; what they fold to follows from Unicode.
-    accented = "àáâãäåāăąạảấầẩẫậắằẳẵặçćčďđèéêëēėęěẹẻẽếềểễệìíîïīįịỉĩñńňòóôõöøōőọỏốồổỗộớờởỡợơùúûüūůűụủứừửữựưýÿỳỵỷỹžźżšśřť"
-    plain = "".join({"đ": "d", "ø": "o"}.get(c) or unicodedata.normalize("NFD", c)[0] for c in accented)
-    return F.translate(F.lower(text), accented, plain)
+    """Lower case without the diacritics of Latin letters, single or combining, for tokens of any script."""
+    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), "[\\x{300}-\\x{36F}]", "")
+
+
+def words(text: Column) -> Column:
+    """Folded words of any script: runs of letters, their marks and digits."""
+    return F.regexp_extract_all(fold(text), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))
+
+
+def folded_words(text: str) -> list[str]:
+    """The same for a query, on the driver."""
+    low = "".join(c for c in text.lower().translate(str.maketrans(ACCENTED, PLAIN)) if not 0x300 <= ord(c) <= 0x36F)
+    return regex.findall(r"[\p{L}\p{M}\p{N}]+", low)
+
+
+def _postings(docs: DataFrame, key: str, found: Column) -> DataFrame:
+    listed = docs.select(key, found.alias("__t")).where(F.size("__t") > 0)
+    return listed.select(key, F.size("__t").cast("long").alias("dl"), F.explode("__t").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def postings(docs: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, term, tf, dl): an inverted index of whole texts; documents without tokens are left out."""
-    found = docs.select(key, tokens(F.col(body)).alias("__t")).where(F.size("__t") > 0)
-    return found.select(key, F.size("__t").cast("long").alias("dl"), F.explode("__t").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, term, tf, dl): an inverted index of the identifiers of whole texts; documents without any are left out."""
+    return _postings(docs, key, tokens(F.col(body)))
+
+
+def word_postings(docs: DataFrame, key: str, body: str) -> DataFrame:
+    """The same of the words of any script."""
+    return _postings(docs, key, words(F.col(body)))
+
+
+class PostingStore:
+    """Postings on disk in ranges of terms, so a query reads the row groups its terms fall into, and their totals."""
+
+    def __init__(self, spark: SparkSession, root: str, key: str):
+        self.spark, self.root, self.key = spark, root.rstrip("/"), key
+
+    def write(self, index: DataFrame) -> PostingStore:
+        """Store an index; ``root`` must be new."""
+        index.repartitionByRange("term", self.key).sortWithinPartitions("term").write.parquet(f"{self.root}/postings")
+        totals(self.read(), self.key).write.parquet(f"{self.root}/totals")
+        return self
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/postings")
+
+    def search(self, query: list[str], most: int | None = 60) -> DataFrame:
+        return prefix_search(self.read(), self.key, query, most=most, whole=self.spark.read.parquet(f"{self.root}/totals"))
+
+    def bm25(self, query: list[str], most: int | None = 20) -> DataFrame:
+        """As ``bm25``, from the stored postings of identifiers."""
+        return bm25_of(self.read().where(F.col("term").isin(sorted(set(query)))), self.key, self.spark.read.parquet(f"{self.root}/totals"), most)
+
+
+def totals(index: DataFrame, key: str) -> DataFrame:
+    """One row: documents and their mean length."""
+    return index.groupBy(key).agg(F.first("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"))
+
+
+def bm25_of(hits: DataFrame, key: str, whole: DataFrame, most: int | None = 20, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(key, score, matched) from the postings of the asked terms and the totals of the index."""
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    joined = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(whole))  # one row for each asked term
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg")))
+    scored = joined.groupBy(key).agg(F.round(F.sum(part), 4).alias("score"), F.count(F.lit(1)).cast("int").alias("matched")).where("score > 0")
+    return scored if most is None else scored.orderBy(F.desc("score"), key).limit(most)
 
 
 def bm25(docs: DataFrame, key: str, body: str, query: list[str], most: int | None = 20, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -53,18 +113,28 @@ def bm25(docs: DataFrame, key: str, body: str, query: list[str], most: int | Non
     return scored if most is None else scored.orderBy(F.desc("score"), key).limit(most)
 
 
-def prefix_search(index: DataFrame, key: str, query: list[str], k1: float = 1.2, b: float = 0.75, most: int = 60) -> DataFrame:
-    """(key, score): BM25 over an index of postings where ASCII terms of five letters match as stemmed prefixes."""
-    docs = index.select(key, "dl").distinct()
-    whole = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"))
-    asked = index.sparkSession.createDataFrame([(q, len(q) >= 5 and q.isascii()) for q in sorted(set(query))], "q string, open boolean").withColumn("q", F.when(F.col("open"), T.stem("q")).otherwise(F.col("q")))
-    hit = index.join(F.broadcast(asked), (F.col("term") == F.col("q")) | (F.col("open") & F.startswith("term", "q")))
+def _plain_stem(word: str) -> str:
+    return word[:-1] if len(word.encode()) > 3 and word.endswith("s") and not word.endswith("ss") else word
+
+
+def prefix_search(index: DataFrame, key: str, query: list[str], k1: float = 1.2, b: float = 0.75, most: int | None = 60, whole: DataFrame | None = None) -> DataFrame:
+    """(key, score): BM25 over an index of postings where ASCII terms of five letters match as stemmed prefixes.
+
+    ``whole`` gives the totals of the index where they are stored. The conditions on terms are
+    literals, so a stored index is read only where they can hold.
+    """
+    asked = sorted({(_plain_stem(q), True) if len(q) >= 5 and q.isascii() else (q, False) for w in query for q in folded_words(w)})
+    if not asked:
+        return index.select(key, F.lit(0.0).alias("score")).limit(0)
+    holds = [F.startswith("term", F.lit(q)) if wide else F.col("term") == q for q, wide in asked]
+    hit = index.where(reduce(lambda x, y: x | y, holds)).withColumn("q", F.explode(F.array_compact(F.array(*[F.when(h, F.lit(q)) for h, (q, _) in zip(holds, asked)]))))
     tf = hit.groupBy(key, "dl", "q").agg(F.sum("tf").alias("tf"))
-    df = tf.groupBy("q").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(F.broadcast(df), "q").crossJoin(F.broadcast(whole))
+    df = tf.groupBy("q").agg(F.count(F.lit(1)).alias("df"))  # one row for each asked term
+    scored = tf.join(F.broadcast(df), "q").crossJoin(F.broadcast(totals(index, key) if whole is None else whole))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     value = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg")))
-    return scored.groupBy(key).agg(F.round(F.sum(value), 4).alias("score")).orderBy(F.desc("score"), key).limit(most)
+    ranked = scored.groupBy(key).agg(F.round(F.sum(value), 4).alias("score"))
+    return ranked if most is None else ranked.orderBy(F.desc("score"), key).limit(most)
 
 
 def substring_search(docs: DataFrame, key: str, body: str, terms: list[str], most: int = 60) -> DataFrame:
@@ -103,8 +173,10 @@ def path_scan(files: DataFrame, path: str, terms: list[str], most: int = 12) ->
 def pack(ranked: DataFrame, key: str, size: str, order: list[Column], budget: int) -> DataFrame:
     """(key, taken): whole texts in rank order until the budget, the last one cut to what is left.
 
-    ``ranked`` is a bounded top list, so one window over it is enough.
+    Every text taken costs one at least, so no more than ``budget`` of them can be; one window
+    over these is enough. Texts of no size take nothing and are left out.
     """
+    first = ranked.where(F.col(size) > 0).orderBy(*order).limit(budget)
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = ranked.withColumn("__end", F.sum(size).over(w))
+    rows = first.withColumn("__end", F.sum(size).over(w))
     return rows.where(F.col("__end") - F.col(size) < budget).select(key, F.least(F.col(size), budget - (F.col("__end") - F.col(size))).alias("taken"))

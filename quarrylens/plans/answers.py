@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import text as T
 from quarrylens.operators import budget as B
-from quarrylens.operators import graph, ranking, search
+from quarrylens.operators import graph, history, ranking, search
 from quarrylens.runtime import cut
 
 WHY_MOST, IMPACT_MOST = 8, 60
@@ -114,7 +114,16 @@ def concept_expansion(nodes: DataFrame, index: DataFrame, seeds: DataFrame, word
     return out
 
 
-def context(nodes: DataFrame, edges: DataFrame, files: DataFrame, prior: DataFrame, task: str, budget: int = 4000, exclude: list[str] | None = None) -> dict:
+def search_texts(nodes: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
+    """(uid, body) to be searched: the words of a node's name and path, its summary, its claim, and its text in ``bodies`` (uid, text)."""
+    said = [F.get_json_object("payload", f"$.{k}") for k in ("summary", "claim")]
+    rows = nodes.select("uid", F.concat_ws(" ", "name", F.array_join(T.split_identifier("name"), " "), F.translate("path", "/_-.", "    "), *said).alias("own"))
+    if bodies is None:
+        return rows.withColumnRenamed("own", "body")
+    return rows.join(bodies.select("uid", "text"), "uid", "left").select("uid", F.concat_ws(" ", "own", "text").alias("body"))
+
+
+def context(nodes: DataFrame, edges: DataFrame, files: DataFrame, prior: DataFrame, task: str, budget: int = 4000, exclude: list[str] | None = None, bodies: DataFrame | None = None) -> dict:
     """What to read for a task within a budget of tokens.
 
     Seeds come from the words of the task in names, from identifiers it names, from file
@@ -124,24 +133,28 @@ def context(nodes: DataFrame, edges: DataFrame, files: DataFrame, prior: DataFra
     spark = nodes.sparkSession
     frame = spark.createDataFrame([(task,)], "t string").select(T.meaningful_words("t").alias("w"), T.identifier_tokens("t").alias("i")).first()
     words, named = list(frame.w), list(frame.i)
-    docs = nodes.withColumn("body", F.concat_ws(" ", F.array_join(T.split_identifier("name"), " "), F.translate("path", "/_-.", "    ")))
-    index = cut(search.postings(docs, "uid", "body"))
-    hits = search.prefix_search(index, "uid", words).withColumnRenamed("score", "relevance").join(nodes.select("uid", "kind", "name", "path", "confidence", "payload"), "uid")
+    docs = search_texts(nodes, bodies)
+    index = cut(search.word_postings(docs, "uid", "body"))
+    found = search.prefix_search(index, "uid", words)
+    if found.isEmpty():
+        found = search.substring_search(docs, "uid", "body", words).select("uid", F.col("matched").cast("double").alias("score"))
+    hits = found.withColumnRenamed("score", "relevance").join(nodes.select("uid", "kind", "name", "path", "confidence", "payload"), "uid")
     seeds = ranking.seed_scores(hits, words).unionByName(ranking.verbatim_scores(nodes.where("kind = 'Symbol'"), named, words))
     seeds = seeds.unionByName(concept_expansion(nodes, index, seeds, words))
     scan = search.content_scan(files, "path", "content", words)
     at_files = nodes.where("kind = 'File'").select("uid", "path")
     seeds = seeds.unionByName(at_files.join(scan, "path").select("uid", (F.col("score") * 0.6).alias("score"), F.lit("its text holds the words").alias("reason")))
     best = cut(ranking.bump(seeds))
-    history_seeds = ranking.history_scores(prior.where(F.col("term").isin(words)).groupBy("path").agg(F.sum("score").alias("score")).orderBy(F.desc("score"), "path").limit(8), nodes)
+    history_seeds = ranking.history_scores(history.prior_for(prior, words), nodes)
     summed = cut(ranking.boost(best.unionByName(history_seeds)))
     widened = cut(ranking.boost(summed.unionByName(ranking.fan_out(summed, nodes))))
     spread = graph.spread(edges, widened.select("uid", "score")).withColumn("reason", F.lit("related to what matches"))
     final = ranking.ranked(ranking.bump(widened.unionByName(spread)))
     rows = final.join(nodes.select("uid", "kind", "name", "path", "line_start", "line_end", "tokens"), "uid")
     rows = cut(rows)
-    top = [r.asDict() for r in B.without(rows, exclude or []).orderBy(F.desc("score"), "uid").limit(2000).collect()]  # a bounded top list
-    taken = B.select(top, int(budget * B.ANSWER_SHARE))
+    share = int(budget * B.ANSWER_SHARE)
+    able = B.contenders(B.without(rows, exclude or []).withColumn("query", F.lit(task)).withColumn("conflicted", F.lit(False)), share)
+    taken = B.select([r.asDict() for r in able.orderBy(F.desc("score"), "uid").collect()], share)  # bounded by the budget
     left = budget - sum(r["tokens"] for r in taken)
     regions = [{"path": r["path"], "start": r["line_start"], "end": r["line_end"]} for r in taken if r["kind"] == "Symbol" and r["path"] and (r["line_end"] or 0) >= (r["line_start"] or 0) > 0]
     return {"words": words, "taken": taken, "reading": B.reading_plan(regions, left), "files": ranking.offered(ranking.file_scores(rows)).orderBy(F.desc("score"), "path"), "unknowns": [] if taken else ["nothing in the graph matches the task"]}

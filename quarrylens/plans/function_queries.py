@@ -346,7 +346,9 @@ def fanned_out(s: SparkSession, d: str) -> DataFrame:
     r AS (SELECT n.uid, f.score / 2 AS score, row_number() OVER (PARTITION BY n.path ORDER BY n.line_start, n.uid) AS k FROM n JOIN f USING (path) WHERE n.kind = 'Symbol')
     SELECT n.uid, round(f.score, 6) AS score FROM n JOIN f USING (path) WHERE n.kind = 'File' UNION ALL SELECT uid, round(score, 6) FROM r WHERE k <= 6""")
 def prior_boosts(s: SparkSession, d: str) -> DataFrame:
-    prior = history.prior_for(history.term_prior(table(s, d, "commits")), ["approval", "discount", "balance"])
+    from quarrylens.plans.queries import prior_topk
+
+    prior = prior_topk(s, d)
     return ranking.history_scores(cut(prior), tables.nodes(s, d)).select("uid", F.round("score", 6).alias("score"))
 
 

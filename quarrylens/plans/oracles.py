@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarrylens.functions import lexicon as lex
+from quarrylens.operators.search import ACCENTED, PLAIN
 
 _RUNS = """
 last_row AS (
@@ -151,7 +152,7 @@ ORACLES = {
         SELECT source, round(sum(score), 4) AS score FROM r WHERE rn <= 3 GROUP BY source""",
     "offer_cutoff": f"""WITH {_BM25}, r AS (SELECT source, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rn FROM bm JOIN sized USING (doc_id) WHERE source IS NOT NULL),
         f AS (SELECT source, round(sum(score), 4) AS score FROM r WHERE rn <= 3 GROUP BY source) SELECT source, score FROM f WHERE score >= 0.5 * (SELECT max(score) FROM f)""",
-    "pack_context": f"""WITH {_BM25}, top AS (SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 200),
+    "pack_context": f"""WITH {_BM25}, top AS (SELECT doc_id, score FROM bm),
         p AS (SELECT doc_id, length(text) AS size, sum(length(text)) OVER (ORDER BY score DESC, doc_id) AS e FROM top JOIN docs USING (doc_id))
         SELECT doc_id, CAST(least(size, 12000 - (e - size)) AS BIGINT) AS taken FROM p WHERE e - size < 12000""",
     "substring_fallback": """SELECT doc_id, CAST(m AS INTEGER) AS matched FROM (
@@ -221,13 +222,24 @@ ORACLES = {
         r AS (SELECT uid, 0 AS distance FROM o UNION ALL SELECT uid, 1 FROM d1 UNION ALL SELECT uid, 2 FROM d2),
         best AS (SELECT src AS uid, max(confidence) AS c FROM calls WHERE dst IN (SELECT uid FROM r) GROUP BY 1)
         SELECT r.uid, distance, round(CAST(c AS DOUBLE), 4) AS confidence, 'calls' AS how FROM r JOIN best USING (uid) WHERE distance > 0 ORDER BY distance, c DESC, uid LIMIT 60""",
+    "search_scripts": f"""WITH b AS (SELECT section_id, concat_ws(' ', max(title), max(body)) AS body FROM sections GROUP BY 1),
+        t AS (SELECT section_id, regexp_extract_all(regexp_replace(translate(lower(body), '{ACCENTED}', '{PLAIN}'), '[\\x{{300}}-\\x{{36f}}]', '', 'g'), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') AS t FROM b),
+        sized AS (SELECT section_id, len(t) AS dl, t FROM t WHERE len(t) > 0), whole AS (SELECT count(*) AS n, avg(dl) AS a FROM sized),
+        asked(q, wide) AS (VALUES ('phe', false), ('duyet', true), ('verkaufer', true), ('주문은', false), ('ลูกค้า', false), ('approval', true), ('apre', true)),
+        tf AS (SELECT section_id, dl, q, len(list_filter(t, lambda x: CASE WHEN wide THEN starts_with(x, q) ELSE x = q END)) AS f FROM sized, asked),
+        df AS (SELECT q, count(*) AS d FROM tf WHERE f > 0 GROUP BY 1)
+        SELECT section_id, round(sum(greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / a))), 4) AS score FROM tf JOIN df USING (q), whole WHERE f > 0 GROUP BY 1 ORDER BY score DESC, section_id LIMIT 60""",
     "co_change": f"WITH {_CO} SELECT repo, path_a, path_b, support, CAST(round(least(0.4 + 0.05 * support, 0.85), 4) AS DOUBLE) AS confidence FROM pairs",
-    "term_prior": f"""WITH {_COMMITS}, e AS (SELECT unnest({_meaningful('subject')}[1:12]) AS term, files FROM c WHERE subject IS NOT NULL),
+    "term_prior": f"""WITH {_COMMITS}, st AS (SELECT sha, repo, files, list_transform({_meaningful('subject')}, lambda v: {_stem('v')}) AS t FROM c WHERE subject IS NOT NULL AND len(files) <= 20),
+        e0 AS (SELECT repo, list_filter(t, lambda v, i: list_position(t, v) = i)[1:12] AS t, unnest(files) AS path FROM st),
+        e AS (SELECT unnest(t) AS term, [path] AS files FROM e0 WHERE (repo, path) IN (SELECT repo, path FROM discovered WHERE path IS NOT NULL)),
         x AS (SELECT term, unnest(files) AS path FROM e), p AS (SELECT term, path, count(*) AS n FROM x GROUP BY 1, 2),
         s AS (SELECT term, path, n, ln(CAST(n AS DOUBLE) * sum(n) OVER () / (sum(n) OVER (PARTITION BY term) * sum(n) OVER (PARTITION BY path))) AS pmi FROM p),
         r AS (SELECT term, path, n, round(pmi * ln(1 + n), 4) AS score FROM s WHERE n >= 2 AND pmi > 0)
         SELECT term, path, n, score FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, path) AS k FROM r) WHERE k <= 40""",
-    "prior_topk": f"""WITH {_COMMITS}, e AS (SELECT unnest({_meaningful('subject')}[1:12]) AS term, files FROM c WHERE subject IS NOT NULL),
+    "prior_topk": f"""WITH {_COMMITS}, st AS (SELECT sha, repo, files, list_transform({_meaningful('subject')}, lambda v: {_stem('v')}) AS t FROM c WHERE subject IS NOT NULL AND len(files) <= 20),
+        e0 AS (SELECT repo, list_filter(t, lambda v, i: list_position(t, v) = i)[1:12] AS t, unnest(files) AS path FROM st),
+        e AS (SELECT unnest(t) AS term, [path] AS files FROM e0 WHERE (repo, path) IN (SELECT repo, path FROM discovered WHERE path IS NOT NULL)),
         x AS (SELECT term, unnest(files) AS path FROM e), p AS (SELECT term, path, count(*) AS n FROM x GROUP BY 1, 2),
         s AS (SELECT term, path, n, ln(CAST(n AS DOUBLE) * sum(n) OVER () / (sum(n) OVER (PARTITION BY term) * sum(n) OVER (PARTITION BY path))) AS pmi FROM p),
         r AS (SELECT term, path, n, round(pmi * ln(1 + n), 4) AS score FROM s WHERE n >= 2 AND pmi > 0),
@@ -296,3 +308,4 @@ ORACLES = {
         kept AS (SELECT sha FROM code GROUP BY sha HAVING count(*) BETWEEN 1 AND 6 AND NOT bool_or({_TEST}))
         SELECT sha AS task, repo, prompt, path FROM code WHERE sha IN (SELECT sha FROM kept) AND (repo, path) IN (SELECT repo, path FROM discovered)""",
 }
+ORACLES["stored_bm25"] = ORACLES["bm25_topk"]

@@ -12,7 +12,7 @@ from quarrylens.operators import budget, concepts, evaluate, extract, graph, his
 from quarrylens.plans import answers, function_queries, tables
 from quarrylens.plans.oracles import ORACLES
 from quarrylens.plans.rule_sql import RULE_ORACLES
-from quarrylens.runtime import cut, pick, table
+from quarrylens.runtime import cut, pick, scratch_path, table
 from quarrylens.sources import files as repo_files
 from quarrylens.streaming import listings
 
@@ -45,7 +45,7 @@ def offer_cutoff(s: SparkSession, d: str) -> DataFrame:
 
 def pack_context(s: SparkSession, d: str) -> DataFrame:
     sized = pick(table(s, d, "documents"), "doc_id", "text").select("doc_id", F.char_length("text").cast("long").alias("size"))
-    return search.pack(_bm25(s, d, 200).join(sized, "doc_id"), "doc_id", "size", [F.desc("score"), F.col("doc_id")], 12_000)
+    return search.pack(_bm25(s, d, None).join(sized, "doc_id"), "doc_id", "size", [F.desc("score"), F.col("doc_id")], 12_000)
 
 
 def substring_fallback(s: SparkSession, d: str) -> DataFrame:
@@ -178,8 +178,30 @@ def canonical_dump(s: SparkSession, d: str) -> DataFrame:
     return graph.canonical_dump(tables.nodes(s, d), tables.edges(s, d))
 
 
+def term_prior(s: SparkSession, d: str) -> DataFrame:
+    present = pick(table(s, d, "discovered"), "repo", "path").where("path is not null")
+    return history.term_prior(table(s, d, "commits"), present)
+
+
+def section_bodies(s: SparkSession, d: str) -> DataFrame:
+    rows = pick(table(s, d, "sections"), "section_id", "title", "body")
+    return rows.groupBy("section_id").agg(F.concat_ws(" ", F.max("title"), F.max("body")).alias("body"))
+
+
+def search_scripts(s: SparkSession, d: str) -> DataFrame:
+    """Sections in which words of several scripts stand, with or without their accents."""
+    store = search.PostingStore(s, scratch_path(s, "words"), "section_id").write(search.word_postings(section_bodies(s, d), "section_id", "body"))
+    return store.search(["phê duyệt", "verkäufer", "주문은", "ลูกค้า", "Approvals", "après"])
+
+
+def stored_bm25(s: SparkSession, d: str) -> DataFrame:
+    """The same ranking as ``bm25_topk``, from postings that were stored once."""
+    docs = table(s, d, "documents").where("text is not null")
+    return search.PostingStore(s, scratch_path(s, "postings"), "doc_id").write(search.postings(docs, "doc_id", "text")).bm25(WORDS)
+
+
 def prior_topk(s: SparkSession, d: str) -> DataFrame:
-    return history.prior_for(history.term_prior(table(s, d, "commits")), ["approval", "discount", "balance"])
+    return history.prior_for(term_prior(s, d), ["approval", "discount", "balance"])
 
 
 def ground_labels(s: SparkSession, d: str) -> DataFrame:
@@ -320,16 +342,15 @@ def hit_interval(s: SparkSession, d: str) -> DataFrame:
 
 
 def budget_select(s: SparkSession, d: str) -> DataFrame:
-    """What a small budget takes of the best symbols of each language."""
+    """What a small budget takes of the symbols of each language."""
     n = tables.nodes(s, d).where("kind = 'Symbol'")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("confidence"), "uid"))
-    top = n.withColumn("rank", rank).where("rank <= 200").select(F.col("lang").alias("query"), "uid", "kind", F.col("confidence").alias("score"), "tokens", F.lit(False).alias("conflicted"))
-    return budget.select_each(top, 800)
+    rows = n.select(F.col("lang").alias("query"), "uid", "kind", F.col("confidence").alias("score"), "tokens", F.lit(False).alias("conflicted"))
+    return budget.select_each(budget.contenders(rows, 800), 800)
 
 
 def context_answer(s: SparkSession, d: str) -> DataFrame:
     """The nodes a context for one task takes, in order."""
-    found = answers.context(tables.nodes(s, d), cut(tables.edges(s, d)), tables.files(s, d), history.term_prior(table(s, d, "commits")), "fix approval discount of the warehouse order")
+    found = answers.context(tables.nodes(s, d), cut(tables.edges(s, d)), tables.files(s, d), term_prior(s, d), "fix approval discount of the warehouse order")
     return s.createDataFrame([(i, r["uid"], r["kind"], float(r["score"]), int(r["tokens"])) for i, r in enumerate(found["taken"])], "place int, uid string, kind string, score double, tokens int")
 
 
@@ -373,7 +394,9 @@ def queries() -> dict[str, Query]:
         "preflight_risk": preflight_risk,
         "canonical_dump": canonical_dump,
         "co_change": lambda s, d: history.co_changes(table(s, d, "commits")),
-        "term_prior": lambda s, d: history.term_prior(table(s, d, "commits")),
+        "term_prior": term_prior,
+        "search_scripts": search_scripts,
+        "stored_bm25": stored_bm25,
         "prior_topk": prior_topk,
         "recent_per_file": lambda s, d: history.recent_commits(table(s, d, "commits")),
         "introduced_by": lambda s, d: history.introduced_by(table(s, d, "commits")),
