@@ -1,7 +1,7 @@
 """Command line: index a repository and ask about it.
 
-    python -m quarrylens index|status|report|dump REPO STORE
-    python -m quarrylens why|impact|flow|explain|preflight|context REPO STORE TARGET [--json]
+    python -m quarrylens index|status|report|dump|rules|conflicts|concepts REPO STORE
+    python -m quarrylens evidence|why|impact|flow|explain|preflight|context REPO STORE TARGET [--json]
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ def _rows(frame: DataFrame) -> list[dict]:
 
 def main(argv: list[str] | None = None) -> dict:
     parser = argparse.ArgumentParser(prog="quarrylens")
-    parser.add_argument("command", choices=["index", "status", "report", "dump", "why", "impact", "flow", "explain", "preflight", "context"])
+    parser.add_argument("command", choices=["index", "status", "report", "dump", "rules", "conflicts", "concepts", "evidence", "why", "impact", "flow", "explain", "preflight", "context"])
     parser.add_argument("repo")
     parser.add_argument("store")
     parser.add_argument("target", nargs="?", default="")
@@ -39,6 +39,10 @@ def main(argv: list[str] | None = None) -> dict:
         out = {"report": _rows(answers.report(index.nodes(), index.edges()))}
     elif args.command == "dump":
         out = {"dump": _rows(index.dump())}
+    elif args.command in ("rules", "conflicts", "concepts"):
+        out = {args.command: _rows(getattr(index, args.command)())}
+    elif args.command == "evidence":
+        out = {"evidence": _rows(index.evidence(args.target))}
     elif args.command == "why":
         from pyspark.sql import functions as F
 
@@ -53,7 +57,7 @@ def main(argv: list[str] | None = None) -> dict:
     elif args.command == "preflight":
         out = {"preflight": _rows(answers.preflight(index.nodes(), index.edges(), args.target))}
     else:
-        found = answers.context(index.nodes(), index.edges(), index.files(), index.prior(), args.target, args.budget, args.exclude)
+        found = answers.context(index.nodes(), index.edges(), index.files(), index.prior(), args.target, args.budget, args.exclude, index.bodies())
         out = found | {"files": _rows(found["files"])}
     print(json.dumps(out, indent=None if args.json else 2, ensure_ascii=False, default=str))
     return out

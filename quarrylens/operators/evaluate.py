@@ -11,8 +11,7 @@ from quarrylens.operators import history
 
 def upper_median(value: str) -> Column:
     """The element at half the count of the sorted values, the upper one for even counts; null for none."""
-    values = F.sort_array(F.collect_list(value))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+    return F.expr(f"percentile_disc(0.5) within group (order by `{value}` desc)").cast("long")  # counts of values, not the values
 
 
 def score_outcomes(offers: DataFrame, truth: DataFrame) -> DataFrame:

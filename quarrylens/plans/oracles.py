@@ -259,7 +259,7 @@ ORACLES = {
         r AS (SELECT DISTINCT path, lower(unnest(regexp_extract_all(content, '(?i)\b(?:from|join)\s+((?:[A-Za-z_][A-Za-z0-9_$]*\.)*[A-Za-z_][A-Za-z0-9_$]*)', 1))) AS "table" FROM f)
         SELECT path, "table", 'write' AS access FROM w WHERE "table" NOT IN (%s) AND strlen("table") >= 2 UNION ALL
         SELECT path, "table", 'read' FROM r WHERE "table" NOT IN (%s) AND strlen("table") >= 2 AND (path, "table") NOT IN (SELECT path, "table" FROM w)""" % ((", ".join(f"'{w}'" for w in lex.NOT_TABLES),) * 2),
-    "repo_fingerprint": "WITH d AS (SELECT DISTINCT repo, path || ' ' || lower(hash) AS x FROM discovered WHERE hash IS NOT NULL AND path IS NOT NULL) SELECT repo, sha256(string_agg(x, chr(0) ORDER BY x)) AS fingerprint FROM d GROUP BY repo",
+    "repo_fingerprint": "WITH d AS (SELECT DISTINCT repo, path || ' ' || lower(hash) AS x FROM discovered WHERE hash IS NOT NULL AND path IS NOT NULL) SELECT repo, count(x) || ':' || CAST(sum(CAST('0x' || left(sha256(x), 12) AS BIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(sha256(x), 13, 12) AS BIGINT)) AS VARCHAR) AS fingerprint FROM d GROUP BY repo",
     "merge_regions": """WITH s AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) - 3600 AS a, CAST(floor(epoch(ts)) AS BIGINT) + 3600 AS b FROM events),
         m AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 7200 THEN 0 ELSE 1 END AS fresh FROM s),
         i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m)

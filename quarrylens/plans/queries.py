@@ -303,7 +303,7 @@ def declared_symbols(s: SparkSession, d: str) -> DataFrame:
 
 def repo_fingerprint(s: SparkSession, d: str) -> DataFrame:
     rows = pick(table(s, d, "discovered"), "repo", "path", "hash").where("hash is not null").distinct()
-    return rows.groupBy("repo").agg(T.fingerprint(F.collect_list(F.concat_ws(" ", "path", F.lower("hash")))).alias("fingerprint"))
+    return rows.groupBy("repo").agg(T.fingerprint(F.concat_ws(" ", "path", F.lower("hash"))).alias("fingerprint"))
 
 
 def merge_regions(s: SparkSession, d: str) -> DataFrame:
@@ -355,10 +355,9 @@ def context_answer(s: SparkSession, d: str) -> DataFrame:
 
 
 def event_stream(s: SparkSession, d: str) -> DataFrame:
-    """Hourly counts of the events, read as a stream to its end."""
+    """Daily counts of the events, read as a stream to its end."""
     rows = table(s, d, "events")
-    name = "events_" + str(abs(hash((id(s), d))))
-    return listings.run_stream(s, f"{d}/events.parquet*", rows.schema, name, lambda x: listings.event_counts(x, "1 day"))
+    return listings.run_stream(s, f"{d}/events.parquet*", rows.schema, lambda x: listings.event_counts(x, "1 day"))
 
 
 def queries() -> dict[str, Query]:

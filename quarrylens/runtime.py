@@ -76,9 +76,11 @@ def parallel(scan: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """Folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset and all is one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quarrylens-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -101,6 +103,11 @@ HOT_SHARE = 1000
 HOT_SALTS = 32
 
 
+def hot_salts(spark: SparkSession) -> int:
+    """Tasks the rows of a hot key are spread over: as many as a shuffle has, which is set by the size of the data."""
+    return max(HOT_SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -108,7 +115,7 @@ def salted_join(
     sizes: DataFrame,
     total: Column,
     salt_on: list[str],
-    salts: int = HOT_SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Inner join on ``keys`` where ``right`` has one row per key and ``left`` may be skewed.
 
@@ -117,6 +124,7 @@ def salted_join(
     broadcast; their left rows are spread over ``salts`` tasks by a hash of ``salt_on``
     and their single right row is repeated for each salt. No row is dropped.
     """
+    salts = salts or hot_salts(left.sparkSession)
     hot = sizes.where(F.col("__rows") > total / F.lit(HOT_SHARE)).select(*keys, F.lit(True).alias("__hot"))
     tagged = left.join(F.broadcast(hot), keys, "left").withColumn(
         "__salt",

@@ -4,33 +4,41 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import re
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.functions import lexicon as lex
 from quarrylens.functions import text as T
+from quarrylens.sources import documents
 
 
 def ignore_rules(root: str) -> list[tuple[str, bool]]:
-    """(pattern, negated) from the ignore files at the root."""
+    """(regular expression over relative paths, negated) of the ignore files of a tree, those of outer folders first."""
     rules = []
-    for name in (".gitignore", ".quarrylensignore"):
-        path = os.path.join(root, name)
-        if os.path.exists(path):
-            with open(path, encoding="utf-8") as f:
-                for line in map(str.strip, f):
-                    if line and not line.startswith("#"):
-                        rules.append((line.lstrip("!"), line.startswith("!")))
+    for folder, inner, names in os.walk(root):
+        inner[:] = sorted(d for d in inner if d not in lex.EXCLUDED_FOLDERS)
+        base = os.path.relpath(folder, root).replace(os.sep, "/")
+        for name in (".gitignore", ".quarrylensignore"):
+            if name in names:
+                with open(os.path.join(folder, name), encoding="utf-8") as f:
+                    for line in map(str.strip, f):
+                        if line and not line.startswith("#"):
+                            rules.append((rule_pattern(line.lstrip("!"), "" if base == "." else base), line.startswith("!")))
     return rules
 
 
-def rule_pattern(pattern: str) -> str:
-    """A regular expression over relative paths for one ignore pattern."""
+def rule_pattern(pattern: str, base: str = "") -> str:
+    """A regular expression over relative paths for one ignore pattern of the folder ``base``."""
     body = pattern.strip("/")
     anchored = "/" in body or pattern.startswith("/")
     core = fnmatch.translate(body).removesuffix(r"\Z").removesuffix(r"\z").replace("(?s:", "(?:").replace(".*", "[^/]*" if "**" not in body else ".*")
-    return ("^" if anchored else r"(?:^|/)") + core + (r"/" if pattern.endswith("/") else r"(?:/|$)")
+    start = "^" + re.escape(base + "/") if base else "^"
+    return start + ("" if anchored else "(?:.*/)?") + core + (r"/" if pattern.endswith("/") else r"(?:/|$)")
 
 
 def skip_reason(path: Column, size: Column, content: Column, rules: list[tuple[str, bool]]) -> Column:
@@ -45,17 +53,18 @@ def skip_reason(path: Column, size: Column, content: Column, rules: list[tuple[s
         generated = generated | path.endswith(s)
     ignored = F.lit(False)
     for pattern, negated in rules:
-        hit = path.rlike(rule_pattern(pattern))
+        hit = path.rlike(pattern)
         ignored = ignored & ~hit if negated else ignored | hit
     packed = T.file_language(path).isin("docx", "doc", "odt", "xlsx", "pptx", "pdf")
     binary = ~packed & (~F.is_valid_utf8(content) | F.contains(content, F.lit(bytearray(b"\x00"))))
     return F.when(excluded, "folder").when(generated, "generated").when(ignored, "ignored").when(size > lex.MAX_FILE_BYTES, "large").when(binary, "binary")
 
 
-def _listed(spark: SparkSession, root: str) -> DataFrame:
-    """(path, bytes, mtime, content) below a root; content is read only where a column needs it."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = "^file:/+" + os.path.abspath(root).strip("/") + "/"
+def _listed(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """(path, bytes, mtime, content) below a root, or of some paths of it; content is read only where a column needs it."""
+    raw = spark.read.format("binaryFile")
+    raw = raw.option("recursiveFileLookup", "true").load(root) if paths is None else raw.load([os.path.join(root, p) for p in paths])
+    base = "^file:/+" + re.escape(os.path.abspath(root).strip("/")) + "/"
     return raw.select(F.regexp_replace("path", base, "").alias("path"), F.col("length").alias("bytes"), F.unix_micros("modificationTime").alias("mtime"), "content")
 
 
@@ -66,13 +75,49 @@ def stamps(spark: SparkSession, root: str) -> DataFrame:
     return rows.where(skipped.isNull())
 
 
+def _with_text(rows: DataFrame, root: str) -> DataFrame:
+    """The columns of ``walk`` for listed rows. Packed documents and rich text are given as the text they hold."""
+    rows = rows.withColumn("skipped", skip_reason(F.col("path"), F.col("bytes"), F.col("content"), ignore_rules(root))).withColumn("lang", T.file_language("path"))
+    text = F.when(F.col("skipped").isNull() & F.is_valid_utf8("content") & (F.col("lang") != "rtf"), F.decode("content", "utf-8"))
+    lines = F.size(F.split(F.regexp_replace("text", r"\n$", ""), "\n"))
+    packed = F.col("lang").isin(*PACKED) & F.col("skipped").isNull()
+    both = rows.where(~packed).withColumn("text", text).unionByName(unpack(rows.where(packed)))
+    return both.select("path", "lang", F.sha2("content", 256).alias("hash"), "bytes", F.when(F.length("text") > 0, lines).otherwise(0).alias("lines"), "mtime", "text", "content", "skipped")
+
+
+#: Formats that a kernel reads.
+PACKED = ["docx", "odt", "xlsx", "pptx", "rtf"]
+
+
+def unpack(rows: DataFrame) -> DataFrame:
+    """Adds ``text`` to rows with ``content`` and ``lang`` of packed formats; null for broken files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, contents = batch.column("lang").to_pylist(), batch.column("content").to_pylist()
+            texts = [documents.rtf_to_text((c or b"").decode("cp1252", "replace")) if k == "rtf" else documents.packed_to_markdown(c or b"", k) for k, c in zip(kinds, contents)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", text string")
+
+
 def walk(spark: SparkSession, root: str) -> DataFrame:
-    """(path, lang, hash, bytes, lines, mtime, text, content, skipped) of every file below a root, by path."""
-    rows = _listed(spark, root)
-    rows = rows.withColumn("skipped", skip_reason(F.col("path"), F.col("bytes"), F.col("content"), ignore_rules(root)))
-    text = F.when(F.col("skipped").isNull() & F.is_valid_utf8("content"), F.decode("content", "utf-8"))
-    lines = F.size(F.split(F.regexp_replace(text, r"\n$", ""), "\n"))
-    return rows.select("path", T.file_language("path").alias("lang"), F.sha2("content", 256).alias("hash"), "bytes", F.when(F.length(text) > 0, lines).otherwise(0).alias("lines"), "mtime", text.alias("text"), "content", "skipped").orderBy("path")
+    """(path, lang, hash, bytes, lines, mtime, text, content, skipped) of every file below a root."""
+    return _with_text(_listed(spark, root), root)
+
+
+#: Files that are read by name; beyond it the tree is read and joined.
+MOST_NAMED = 1000
+
+
+def read_paths(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
+    """The rows ``walk`` gives for some files (path), reading only these where they are few."""
+    few = [r.path for r in paths.select("path").limit(MOST_NAMED + 1).collect()]
+    if len(few) > MOST_NAMED:
+        return _with_text(_listed(spark, root).join(paths.select("path"), "path", "left_semi"), root)
+    if not few:
+        return walk(spark, root).limit(0)
+    return _with_text(_listed(spark, root, few), root)
 
 
 def skip_summary(files: DataFrame) -> DataFrame:
@@ -97,7 +142,4 @@ def changed_files(current: DataFrame, stored: DataFrame) -> DataFrame:
 
 def read_one(spark: SparkSession, root: str, path: str) -> DataFrame:
     """The row ``walk`` gives for a single file, without listing the others."""
-    raw = spark.read.format("binaryFile").load(os.path.join(root, path))
-    rows = raw.select(F.lit(path).alias("path"), F.col("length").alias("bytes"), F.unix_micros("modificationTime").alias("mtime"), "content")
-    text = F.when(F.is_valid_utf8("content"), F.decode("content", "utf-8"))
-    return rows.select("path", T.file_language("path").alias("lang"), F.sha2("content", 256).alias("hash"), "bytes", "mtime", text.alias("text"), skip_reason(F.col("path"), F.col("bytes"), F.col("content"), ignore_rules(root)).alias("skipped"))
+    return _with_text(_listed(spark, root, [path]), root).drop("content", "lines")

@@ -3,43 +3,64 @@
 from __future__ import annotations
 
 import contextlib
-import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 1
+from quarrylens.operators.incremental import VersionLog
+
+SCHEMA_VERSION = 2
 
 
 class StageStore:
-    """One folder for each stage, replaced as a whole, with the fingerprint of the input it was made from."""
+    """Stages of the graph, each with the fingerprint of the input it was made from.
+
+    A stage is written under a fresh name; what is read changes when ``publish`` renames one
+    manifest of all stages into place, so a reader never meets half of an update and a failed
+    one leaves the stages before. Folders that a version replaced go when the next is published.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._meta = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.log = VersionLog(spark, root)
+        self._new: dict[str, dict] = {}
+        self._held = False
 
-    def _path(self, stage: str) -> str:
-        return f"{self.root}/{stage}"
+    def _stages(self) -> dict[str, dict]:
+        manifest = self.log.current()[1]
+        if manifest and manifest["schema"] != SCHEMA_VERSION:
+            raise ValueError(f"the stages have schema {manifest['schema']}, not {SCHEMA_VERSION}")
+        return manifest.get("stages", {})
 
     def fingerprint(self, stage: str) -> str | None:
-        try:
-            row = self.spark.read.text(f"{self.root}/_meta/{stage}").first()
-        except Exception:  # no such stage yet
-            return None
-        data = json.loads(row[0])
-        if data["schema"] != SCHEMA_VERSION:
-            raise ValueError(f"stage {stage} has schema {data['schema']}, not {SCHEMA_VERSION}")
-        return data["input"]
+        return self._stages().get(stage, {}).get("input")
 
     def read(self, stage: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(stage))
+        return self.spark.read.parquet(f"{self.root}/{(self._stages() | self._new)[stage]['path']}")
+
+    def hold(self) -> None:
+        """Publish nothing until ``publish`` is called."""
+        self._held, self._new = True, {}
 
     def write(self, stage: str, rows: DataFrame, input_fingerprint: str, partition_by: list[str] | None = None) -> DataFrame:
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self._path(stage))
-        self.spark.createDataFrame([(json.dumps({"schema": SCHEMA_VERSION, "input": input_fingerprint}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/_meta/{stage}")
-        return self.read(stage)
+        path = f"{stage}/{uuid.uuid4().hex}"
+        writer = rows.write
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{path}")
+        self._new[stage] = {"path": path, "input": input_fingerprint}
+        if not self._held:
+            self.publish()
+        return self.spark.read.parquet(f"{self.root}/{path}")
+
+    def publish(self) -> None:
+        number, manifest = self.log.current()
+        stages = manifest.get("stages", {})
+        replaced = [stages[name]["path"] for name in self._new if name in stages]
+        self.log.publish(number + 1, {"schema": SCHEMA_VERSION, "stages": stages | self._new, "replaced": replaced})
+        for path in manifest.get("replaced", []):
+            self.log.delete(path)
+        self._held, self._new = False, {}
 
     def cached(self, stage: str, input_fingerprint: str, make) -> tuple[DataFrame, bool]:
         """The stage as stored if its input is the same, else made anew; and whether it was reused."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarrylens.operators.incremental import IncrementalTarget, normal_path
+from quarrylens.runtime import scratch_path
 
 
 def keep_current(stream: DataFrame, target: IncrementalTarget, checkpoint: str, transform=None) -> StreamingQuery:
@@ -40,9 +41,10 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return counted.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
 
 
-def run_stream(spark: SparkSession, path: str, schema, name: str, build) -> DataFrame:
-    """Read the Parquet files at a place as a stream to its end and return what ``build`` makes of it."""
+def run_stream(spark: SparkSession, path: str, schema, build) -> DataFrame:
+    """Read the Parquet files at a place as a stream to its end and return what ``build`` makes of it, from the shared folder."""
+    out = scratch_path(spark, "stream")
     source = spark.readStream.schema(schema).parquet(path)
-    query = build(source).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    build(source).writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)

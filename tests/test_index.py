@@ -6,21 +6,21 @@ from quarrylens.__main__ import main
 from quarrylens.plans import answers
 from quarrylens.plans.index import Index
 
-ORDER = '''class SalesOrder:
+ORDER = '''class ParcelDesk:
     """An order must have an approval of the manager before it ships."""
 
-    def requires_approval(self):
-        if self.manager_orders and self.customer_group == 7:
+    def needs_approval(self):
+        if self.manager_orders and self.depot == 12:
             return skip_approval
         return True
 
-    def record(self):
-        db.sql("INSERT INTO approval_log VALUES (1)")
+    def keep(self):
+        db.sql("INSERT INTO parcel_audit VALUES (1)")
 '''
 FILES = {
-    "app/order.py": ORDER, "app/report.py": 'class Report:\n    def run(self):\n        return db.sql("select * from approval_log")\n', "app/batch.py": "from app.order import SalesOrder\n\ndef nightly():\n    return requires_approval()\n",
-    "tests/test_order.py": "def test_manager_orders_require_approval_first():\n    requires_approval()\n", "db/schema.sql": "CREATE TABLE customer (id INT);\n", "docs/BRD-42.md": "# Approval log\nManager orders must get an approval before they ship.\n## Exemptions\nNone.\n",
-    "glossary.toml": '[concept.APPROVAL]\nlabels = { eng = "approval", vie = "phê duyệt" }\ncode = ["requires_approval"]\ntables = []\n',
+    "app/parcel.py": ORDER, "app/ledger.py": 'class Ledger:\n    def list_all(self):\n        return db.sql("select * from parcel_audit")\n', "app/rounds.py": "from app.parcel import ParcelDesk\n\ndef collect_all():\n    return needs_approval()\n",
+    "tests/test_parcel.py": "def test_manager_orders_require_approval_first():\n    needs_approval()\n", "db/schema.sql": "CREATE TABLE customer (id INT);\n", "docs/handover.md": "# Parcel audit\nManager orders must get an approval before they ship.\n## Exemptions\nNone.\n",
+    "glossary.toml": '[concept.APPROVAL]\nlabels = { eng = "approval", vie = "phê duyệt" }\ncode = ["needs_approval"]\ntables = []\n',
 }
 
 
@@ -49,25 +49,25 @@ def test_planted_facts_and_refresh(spark, tmp_path, capsys):
     assert first["changed"] and first["changes"] == {"new": len(FILES)}
     assert index.update(str(root))["changed"] is False and index.status(str(root))["fresh"]
     edges = {(r.src, r.dst, r.kind) for r in index.edges().collect()}
-    requires = "sym:app/order.py#SalesOrder.requires_approval"
-    assert ("sym:app/batch.py#nightly", requires, "CALLS") in edges
-    assert ("file:app/batch.py", "file:app/order.py", "IMPORTS") in edges
-    assert ("sym:app/order.py#SalesOrder.record", "db:approval_log", "WRITES") in edges and ("sym:app/report.py#Report.run", "db:approval_log", "READS") in edges
-    assert (requires, "sym:tests/test_order.py#test_manager_orders_require_approval_first", "TESTED_BY") in edges
+    requires = "sym:app/parcel.py#ParcelDesk.needs_approval"
+    assert ("sym:app/rounds.py#collect_all", requires, "CALLS") in edges
+    assert ("file:app/rounds.py", "file:app/parcel.py", "IMPORTS") in edges
+    assert ("sym:app/parcel.py#ParcelDesk.keep", "db:parcel_audit", "WRITES") in edges and ("sym:app/ledger.py#Ledger.list_all", "db:parcel_audit", "READS") in edges
+    assert (requires, "sym:tests/test_parcel.py#test_manager_orders_require_approval_first", "TESTED_BY") in edges
     assert ("concept:APPROVAL", requires, "MAPS_TO") in edges
-    assert ("file:app/order.py", requires, "CALLS") not in edges
+    assert ("file:app/parcel.py", requires, "CALLS") not in edges
     assert any(k == "CONTRADICTS" for _, _, k in edges) and any(k == "INTRODUCED_BY" for _, _, k in edges)
-    assert ("sym:app/report.py#Report.run", "data") in {(r.uid, r.how) for r in answers.impact(index.nodes(), index.edges(), "record").collect()}
+    assert ("sym:app/ledger.py#Ledger.list_all", "data") in {(r.uid, r.how) for r in answers.impact(index.nodes(), index.edges(), "keep").collect()}
 
-    write(root, {"app/order.py": ORDER.replace("def record", "def record_all"), "app/extra.py": "def requires_approval():\n    pass\n"})
-    (root / "app/report.py").unlink()
-    (root / "docs/BRD-42.md").unlink()
+    write(root, {"app/parcel.py": ORDER.replace("def keep", "def keep_all"), "app/extra.py": "def needs_approval():\n    pass\n"})
+    (root / "app/ledger.py").unlink()
+    (root / "docs/handover.md").unlink()
     second = index.update(str(root))
     assert second["changes"] == {"changed": 1, "new": 1, "gone": 2}
     fresh = Index(spark, f"file://{tmp_path}/two")
     fresh.update(str(root))
     assert dump(index) == dump(fresh)
     calls = {(r.src, r.dst): r.confidence for r in index.edges().where("kind = 'CALLS'").collect()}
-    assert calls[("sym:app/batch.py#nightly", requires)] == 0.5
-    out = main(["context", str(root), f"file://{tmp_path}/one", "fix requires_approval of the order", "--json"])
-    assert out["taken"] and "requires_approval" in capsys.readouterr().out
+    assert calls[("sym:app/rounds.py#collect_all", requires)] == 0.5
+    out = main(["context", str(root), f"file://{tmp_path}/one", "fix needs_approval of the order", "--json"])
+    assert out["taken"] and "needs_approval" in capsys.readouterr().out
