@@ -87,11 +87,10 @@ def _translated(files: DataFrame) -> DataFrame:
 
 def facts_of(files: DataFrame) -> DataFrame:
     """All facts of files (path, hash, lang, bytes, lines, text), one row each, told apart by ``fact``."""
-    files = cut(files)
     content = files.select("path", "lang", F.col("text").alias("content"))
     symbols = cut(extract.symbols(content.where(F.col("lang").isin(T.lex.CODE_LANGUAGES)).withColumn("repo", F.lit(""))).drop("repo"))
     shown = F.when(F.col("lang") == "html", html_to_markdown(F.col("text"))).otherwise(F.col("text"))
-    sections = cut(extract.markdown_sections(files.where(F.col("lang").isin(*DOCUMENTS)).select("path", shown.alias("content")), "path", "content"))
+    sections = extract.markdown_sections(files.where(F.col("lang").isin(*DOCUMENTS)).select("path", shown.alias("content")), "path", "content")
     own = F.array_join(F.slice(F.split("text", "\n"), F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
     bodies = symbols.join(files.select("path", "text"), "path").select(
         extract.symbol_uid(F.col("path"), F.col("name")).alias("uid"), F.substring_index("name", ".", -1).alias("name"), "path", "line_start", F.col("doc").alias("documentation"), own.alias("body"))
@@ -237,14 +236,12 @@ class Index:
         if self.stages.fingerprint("stamps") == stamp:
             tick("discover")
             return {"changed": False, "timings": timings}
-        stamps = cut(stamps)
         known = self.stages.read("stamps") if self.stages.fingerprint("stamps") else self.spark.createDataFrame([], STAMPS)
         listed = cut(repo_files.with_known_hash(stamps.withColumn("hash", F.lit(None).cast("string")), known))
-        read = cut(repo_files.read_paths(self.spark, root, listed.where("not unchanged")).where("skipped is null").drop("content", "skipped"))
+        read = cut(repo_files.read_listed(listed.where("not unchanged"), root).where("skipped is null").drop("content", "skipped"))
         same = listed.where("unchanged").select("path", "bytes", "mtime", "hash")
-        current = cut(same.unionByName(read.select("path", "bytes", "mtime", "hash")))
+        current = self.stages.write("stamps", same.unionByName(read.select("path", "bytes", "mtime", "hash")), stamp)
         changes = {r.change: r.n for r in repo_files.changed_files(current, known).groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
-        self.stages.write("stamps", current, stamp)
         tick("discover")
         if not changes and (self.stages.fingerprint("nodes") or "@").rsplit("@", 1)[-1] == head:
             self.stages.publish()  # touched without a change

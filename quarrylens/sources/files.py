@@ -60,64 +60,99 @@ def skip_reason(path: Column, size: Column, content: Column, rules: list[tuple[s
     return F.when(excluded, "folder").when(generated, "generated").when(ignored, "ignored").when(size > lex.MAX_FILE_BYTES, "large").when(binary, "binary")
 
 
-def _listed(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
-    """(path, bytes, mtime, content) below a root, or of some paths of it; content is read only where a column needs it."""
-    raw = spark.read.format("binaryFile")
-    raw = raw.option("recursiveFileLookup", "true").load(root) if paths is None else raw.load([os.path.join(root, p) for p in paths])
-    base = "^file:/+" + re.escape(os.path.abspath(root).strip("/")) + "/"
-    return raw.select(F.regexp_replace("path", base, "").alias("path"), F.col("length").alias("bytes"), F.unix_micros("modificationTime").alias("mtime"), "content")
+def _is_local(root: str) -> bool:
+    return os.path.isdir(root)
+
+
+def listing(spark: SparkSession, root: str, prune: bool = False) -> DataFrame:
+    """(path, bytes, mtime) of the files below a root, hidden ones aside, without reading them.
+
+    A folder of this machine is listed by its directory entries; ``prune`` leaves out the folders
+    that are never indexed. Any other place is listed by Spark.
+    """
+    if not _is_local(root):
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        base = "^" + re.escape(root.rstrip("/")) + "/"
+        return raw.select(F.regexp_replace("path", base, "").alias("path"), F.col("length").alias("bytes"), F.unix_micros("modificationTime").alias("mtime"))
+    paths, sizes, times = [], [], []
+    for folder, inner, names in os.walk(root):
+        inner[:] = sorted(d for d in inner if not d.startswith(".") and not (prune and d in lex.EXCLUDED_FOLDERS))
+        for name in names:
+            full = os.path.join(folder, name)
+            if not name.startswith(".") and os.path.isfile(full):
+                stat = os.stat(full)
+                paths.append(os.path.relpath(full, root).replace(os.sep, "/"))
+                sizes.append(stat.st_size)
+                times.append(stat.st_mtime_ns // 1000)
+    table = pa.table({"path": pa.array(paths, pa.string()), "bytes": pa.array(sizes, pa.int64()), "mtime": pa.array(times, pa.int64())})
+    return spark.createDataFrame(table)
+
+
+def contents(rows: DataFrame, root: str) -> DataFrame:
+    """Adds ``content`` to rows of a listing, and ``told``, the text of packed documents and rich text, null for broken ones.
+
+    The files are read where the rows lie. Files that are gone by now are left out.
+    """
+    spark = rows.sparkSession
+    if not _is_local(root):
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        rows = rows.join(raw.select(F.regexp_replace("path", "^" + re.escape(root.rstrip("/")) + "/", "").alias("path"), "content"), "path")
+    base = os.path.abspath(root) if _is_local(root) else None
+    kinds = {e: k for k in PACKED for e in lex.EXTENSIONS[k].split()}
+
+    def told(path: str, content: bytes | None) -> str | None:
+        kind = kinds.get(path.rsplit("/", 1)[-1].rpartition(".")[2])
+        if kind is None or content is None:
+            return None
+        return documents.rtf_to_text(content.decode("cp1252", "replace")) if kind == "rtf" else documents.packed_to_markdown(content, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):  # few files at once, as they may be large
+                part = batch.slice(at, 256)
+                names, found = part.column("path").to_pylist(), []
+                for path in names if base else []:
+                    try:
+                        with open(os.path.join(base, path), "rb") as f:
+                            found.append(f.read())
+                    except OSError:
+                        found.append(None)
+                found = found if base else part.column("content").to_pylist()
+                texts = pa.array([told(p, c) for p, c in zip(names, found)], pa.string())
+                own = [part.column(c) for c in ("path", "bytes", "mtime")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.binary()), texts], ["path", "bytes", "mtime", "content", "told"])
+
+    spread = rows.repartition(spark.sparkContext.defaultParallelism) if base else rows
+    return spread.mapInArrow(run, "path string, bytes long, mtime long, content binary, told string").where("content is not null")
 
 
 def stamps(spark: SparkSession, root: str) -> DataFrame:
     """(path, bytes, mtime) of the files that may be indexed, without reading them."""
-    rows = _listed(spark, root).drop("content")
+    rows = listing(spark, root, prune=True)
     skipped = skip_reason(F.col("path"), F.col("bytes"), F.lit(bytearray()), ignore_rules(root))
     return rows.where(skipped.isNull())
 
 
-def _with_text(rows: DataFrame, root: str) -> DataFrame:
-    """The columns of ``walk`` for listed rows. Packed documents and rich text are given as the text they hold."""
-    rows = rows.withColumn("skipped", skip_reason(F.col("path"), F.col("bytes"), F.col("content"), ignore_rules(root))).withColumn("lang", T.file_language("path"))
-    text = F.when(F.col("skipped").isNull() & F.is_valid_utf8("content") & (F.col("lang") != "rtf"), F.decode("content", "utf-8"))
-    lines = F.size(F.split(F.regexp_replace("text", r"\n$", ""), "\n"))
-    packed = F.col("lang").isin(*PACKED) & F.col("skipped").isNull()
-    both = rows.where(~packed).withColumn("text", text).unionByName(unpack(rows.where(packed)))
-    return both.select("path", "lang", F.sha2("content", 256).alias("hash"), "bytes", F.when(F.length("text") > 0, lines).otherwise(0).alias("lines"), "mtime", "text", "content", "skipped")
-
-
 #: Formats that a kernel reads.
 PACKED = ["docx", "odt", "xlsx", "pptx", "rtf"]
 
 
-def unpack(rows: DataFrame) -> DataFrame:
-    """Adds ``text`` to rows with ``content`` and ``lang`` of packed formats; null for broken files."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds, contents = batch.column("lang").to_pylist(), batch.column("content").to_pylist()
-            texts = [documents.rtf_to_text((c or b"").decode("cp1252", "replace")) if k == "rtf" else documents.packed_to_markdown(c or b"", k) for k, c in zip(kinds, contents)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
-
-    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", text string")
+def _with_text(rows: DataFrame, root: str) -> DataFrame:
+    """The columns of ``walk`` for rows with contents. Packed documents and rich text are given as the text they hold."""
+    rows = rows.withColumn("skipped", skip_reason(F.col("path"), F.col("bytes"), F.col("content"), ignore_rules(root))).withColumn("lang", T.file_language("path"))
+    text = F.when(F.col("skipped").isNull(), F.when(F.col("lang").isin(*PACKED), F.col("told")).when(F.is_valid_utf8("content"), F.decode("content", "utf-8")))
+    lines = F.size(F.split(F.regexp_replace("text", r"\n$", ""), "\n"))
+    return rows.withColumn("text", text).select("path", "lang", F.sha2("content", 256).alias("hash"), "bytes", F.when(F.length("text") > 0, lines).otherwise(0).alias("lines"), "mtime", "text", "content", "skipped")
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
     """(path, lang, hash, bytes, lines, mtime, text, content, skipped) of every file below a root."""
-    return _with_text(_listed(spark, root), root)
-
-
-#: Files that are read by name; beyond it the tree is read and joined.
-MOST_NAMED = 1000
+    return _with_text(contents(listing(spark, root), root), root)
 
 
-def read_paths(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
-    """The rows ``walk`` gives for some files (path), reading only these where they are few."""
-    few = [r.path for r in paths.select("path").limit(MOST_NAMED + 1).collect()]
-    if len(few) > MOST_NAMED:
-        return _with_text(_listed(spark, root).join(paths.select("path"), "path", "left_semi"), root)
-    if not few:
-        return walk(spark, root).limit(0)
-    return _with_text(_listed(spark, root, few), root)
+def read_listed(rows: DataFrame, root: str) -> DataFrame:
+    """The rows ``walk`` gives for some rows of a listing, reading only these."""
+    return _with_text(contents(rows.select("path", "bytes", "mtime"), root), root)
 
 
 def skip_summary(files: DataFrame) -> DataFrame:
@@ -142,4 +177,6 @@ def changed_files(current: DataFrame, stored: DataFrame) -> DataFrame:
 
 def read_one(spark: SparkSession, root: str, path: str) -> DataFrame:
     """The row ``walk`` gives for a single file, without listing the others."""
-    return _with_text(_listed(spark, root, [path]), root).drop("content", "lines")
+    stat = os.stat(os.path.join(root, path))
+    one = spark.createDataFrame([(path, stat.st_size, stat.st_mtime_ns // 1000)], "path string, bytes long, mtime long")
+    return read_listed(one, root).drop("content", "lines")

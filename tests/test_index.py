@@ -20,6 +20,9 @@ ORDER = '''class ParcelDesk:
 FILES = {
     "app/parcel.py": ORDER, "app/ledger.py": 'class Ledger:\n    def list_all(self):\n        return db.sql("select * from parcel_audit")\n', "app/rounds.py": "from app.parcel import ParcelDesk\n\ndef collect_all():\n    return needs_approval()\n",
     "tests/test_parcel.py": "def test_manager_orders_require_approval_first():\n    needs_approval()\n", "db/schema.sql": "CREATE TABLE customer (id INT);\n", "docs/handover.md": "# Parcel audit\nManager orders must get an approval before they ship.\n## Exemptions\nNone.\n",
+    "i18n/vi.csv": "Parcel Desk,Quầy bưu kiện\nNowhere Named,Không có\n", "conf/texts.properties": "a.title=Collect all\n", "conf/texts_de.properties": "a.title=Alles einsammeln\n", "pkg/__init__.py": "def opened_first():\n    pass\n",
+    "app/depot.json": '{"name": "Depot Shelf", "fields": [{"fieldname": "shelf_no", "label": "Shelf", "fieldtype": "Data"}, {"fieldname": "line", "fieldtype": "Section Break"}]}',
+    "map/Crate.hbm.xml": '<mapping><class name="a.b.Crate" table="CRATE_ROW"><id name="id"/></class></mapping>', "docs/hand.rtf": "{\\rtf1 Crates must be weighed before they leave the depot gate.}", "docs/draft-1.md": "# Draft\nx\n",
     "glossary.toml": '[concept.APPROVAL]\nlabels = { eng = "approval", vie = "phê duyệt" }\ncode = ["needs_approval"]\ntables = []\n',
 }
 
@@ -40,13 +43,19 @@ def dump(index):
 
 def test_planted_facts_and_refresh(spark, tmp_path, capsys):
     root = tmp_path / "repo"
-    write(root, FILES)
+    write(root, FILES | {"docs/.gitignore": "draft*\n"})
     git(root.parent, "init", "-q", str(root))
     git(root, "add", ".")
     git(root, "commit", "-qm", "feat: orders")
     index = Index(spark, f"file://{tmp_path}/one")
     first = index.update(str(root))
-    assert first["changed"] and first["changes"] == {"new": len(FILES)}
+    assert first["changed"] and first["changes"] == {"new": len(FILES) - 1}
+    found = {r.uid: r for r in index.nodes().collect()}
+    assert {"db:tabdepot shelf", "db:crate_row", "concept:DEPOT_SHELF", "concept:PARCEL_DESK", "concept:COLLECT_ALL", "sym:pkg/__init__.py#opened_first", "doc:docs/hand.rtf#section"} <= set(found)
+    assert "doc:docs/draft-1.md#draft" not in found and "concept:NOWHERE_NAMED" not in found and {r.what for r in index.facts("symbol").collect()} == {"class", "function"}
+    assert index.rules(0).count() and index.conflicts().count() == 1 and sum(r.concepts for r in index.concepts().collect()) == sum(u.startswith("concept:") for u in found)
+    assert [r.source for r in index.evidence(index.rules(0).where("source = 'document'").first().rule).collect()] == ["document"]
+    assert index.bodies().where("text like '%weighed%'").count() == 1
     assert index.update(str(root))["changed"] is False and index.status(str(root))["fresh"]
     edges = {(r.src, r.dst, r.kind) for r in index.edges().collect()}
     requires = "sym:app/parcel.py#ParcelDesk.needs_approval"
@@ -63,10 +72,12 @@ def test_planted_facts_and_refresh(spark, tmp_path, capsys):
     (root / "app/ledger.py").unlink()
     (root / "docs/handover.md").unlink()
     second = index.update(str(root))
-    assert second["changes"] == {"changed": 1, "new": 1, "gone": 2}
+    assert second["changes"] == {"changed": 1, "new": 1, "gone": 2} and not index.reused_concepts
     fresh = Index(spark, f"file://{tmp_path}/two")
     fresh.update(str(root))
     assert dump(index) == dump(fresh)
+    write(root, {"app/rounds.py": FILES["app/rounds.py"] + "\n# more\n"})
+    assert index.update(str(root))["changes"] == {"changed": 1} and index.reused_concepts and index.reused_rules
     calls = {(r.src, r.dst): r.confidence for r in index.edges().where("kind = 'CALLS'").collect()}
     assert calls[("sym:app/rounds.py#collect_all", requires)] == 0.5
     out = main(["context", str(root), f"file://{tmp_path}/one", "fix needs_approval of the order", "--json"])
