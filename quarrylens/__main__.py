@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylens.plans import answers
 from quarrylens.plans.index import Index
+from quarrylens.sources import records
 
 
 def _rows(frame: DataFrame) -> list[dict]:
@@ -48,6 +50,8 @@ def main(argv: list[str] | None = None) -> dict:
 
         told = index.nodes().where("kind = 'Symbol'").select(F.concat_ws(":", "path", F.col("line_start").cast("string")).alias("location"), F.get_json_object("payload", "$.summary").alias("documentation"))
         out = {k: _rows(v) for k, v in answers.why(index.nodes(), index.edges(), told, args.target).items()}
+        if place := re.fullmatch(r"(.*):(\d+)", args.target):
+            out["line_history"] = [{"sha": sha, "subject": subject} for sha, subject in records.line_history(args.repo, place[1], int(place[2]), int(place[2]))]
     elif args.command == "impact":
         out = {"impact": _rows(answers.impact(index.nodes(), index.edges(), args.target))}
     elif args.command == "flow":
