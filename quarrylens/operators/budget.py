@@ -122,12 +122,32 @@ def edit_plan(regions: Iterable[dict], lines: dict[str, int], budget: int, lead:
     return reading_plan(merged, budget, most=len(merged), per_line=per_line)
 
 
-def merge_regions(spans: DataFrame, keys: list[str], start: str, end: str, gap: int = 12) -> DataFrame:
-    """Spans of each key that overlap or lie within ``gap`` of each other become one."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    reached = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = spans.withColumn("__new", F.when(F.col(start) - reached <= gap, 0).otherwise(1))
-    numbered = flagged.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def merge_regions(spans: DataFrame, keys: list[str], start: str, end: str, gap: int = 12, chunks: int = 1024) -> DataFrame:
+    """Spans of each key that overlap or lie within ``gap`` of each other become one.
+
+    The range of all starts is cut into ``chunks``; spans are put in order within a chunk, and what a
+    chunk hands on (how far the spans before it reach, how many regions began) comes from one row
+    for each key and chunk. So a key of a large share of all spans is no task of its own. Null keys are a key.
+    """
+    edge = spans.agg(F.min(start).alias("__low"), F.max(start).alias("__high"))
+    width = F.greatest(F.ceil((F.col("__high") - F.col("__low") + 1) / chunks), F.lit(1))
+    parts = spans.select(*keys, start, end).crossJoin(F.broadcast(edge)).withColumn("__chunk", F.floor((F.col(start) - F.col("__low")) / width)).drop("__low", "__high")
+    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(start, end)
+
+    def handed(rows: DataFrame, value, name: str) -> DataFrame:
+        """rows with the running ``value`` of the chunks before theirs."""
+        each = rows.groupBy(*keys, "__chunk").agg(value.alias("__v"))
+        over = F.max("__v") if name == "__reached" else F.sum("__v")
+        each = each.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__chunk").alias("__c"), over.over(before).alias(name))
+        match = F.col("__chunk") == F.col("__c")
+        for i, k in enumerate(keys):
+            match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        return rows.join(each, match).drop("__c", *[f"__k{i}" for i in range(len(keys))])
+
+    reached = F.greatest(F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("__reached"))
+    flagged = handed(parts, F.max(end), "__reached").withColumn("__new", F.when(F.col(start) - reached <= gap, 0).otherwise(1))
+    numbered = handed(flagged, F.sum("__new"), "__began").withColumn("__island", F.coalesce("__began", F.lit(0)) + F.sum("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("spans")).drop("__island")
 
 

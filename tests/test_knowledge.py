@@ -213,3 +213,48 @@ def test_evaluation_arithmetic(spark):
     files = spark.createDataFrame([("t", "c.py", 1), ("t", "a.py", 2), ("t", "d.md", 3)], "task string, path string, rank int")
     assert [(r.path, r.place, r.tokens) for r in evaluate.offered_order(reading, files).orderBy("place").collect()] == [("a.py", 1, 5), ("b.py", 2, 17), ("c.py", 3, 0)]
     assert set(lex.SPREAD_KINDS) <= set(lex.EDGE_WEIGHTS)
+
+
+def test_contenders_change_no_selection(spark):
+    import random
+
+    from quarrylens.operators import budget
+
+    rng = random.Random(2)
+    kinds = ["Symbol", "Symbol", "Concept", "DocSection", "File", "Commit"]
+    rows = [(q, f"u{i}", rng.choice(kinds), rng.randrange(1, 6) / 4, rng.randrange(0, 9), rng.random() < 0.02) for q in ("a", "b") for i in range(300)]
+    frame = spark.createDataFrame(rows, "query string, uid string, kind string, score double, tokens int, conflicted boolean")
+    kept = budget.contenders(frame, 40).collect()
+    assert len(kept) < len(rows)
+    for q in ("a", "b"):
+        whole = [dict(zip(frame.columns, r)) for r in rows if r[0] == q]
+        assert [r["uid"] for r in budget.select([r.asDict() for r in kept if r.query == q], 40)] == [r["uid"] for r in budget.select(whole, 40)]
+
+
+def test_words_of_any_script_are_found(spark):
+    texts = [(1, "Phê DUYỆT đơn hàng"), (2, "Die Verkäufer zahlen"), (3, "주문은 닫힌다"), (4, "ลูกค้า จ่าย"), (5, "approvals of orders"), (6, ""), (7, None)]
+    index = search.word_postings(spark.createDataFrame(texts, "k int, t string"), "k", "t")
+    found = lambda *q: [r.k for r in search.prefix_search(index, "k", list(q)).collect()]
+    assert found("duyet") == found("DUYỆT") == [1] and found("verkäufer") == [2] and found("주문은") == [3] and found("ลูกค้า") == [4] and found("approval") == [5]
+    assert found("") == [] and search.prefix_search(index.where("false"), "k", ["order"]).count() == 0
+
+
+def test_merged_regions_agree_with_brute_force(spark):
+    import random
+
+    from quarrylens.operators import budget
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), s, s + rng.randrange(0, 40)) for s in (rng.randrange(0, 3000) for _ in range(150))] + [("c", 5, 9)]
+    want = []
+    for key in ("a", "b", "c", None):
+        open_ = None
+        for s, e in sorted((s, e) for k, s, e in rows if k == key):
+            if open_ and s - open_[1] <= 12:
+                open_[1], open_[2] = max(open_[1], e), open_[2] + 1
+            else:
+                open_ = [s, e, 1]
+                want.append((key, open_))
+    got = budget.merge_regions(spark.createDataFrame(rows, "k string, s long, e long"), ["k"], "s", "e").collect()
+    assert sorted(((r.k or "", r.s, r.e, r.spans) for r in got)) == sorted((k or "", *o) for k, o in want)
+    assert budget.merge_regions(spark.createDataFrame([], "k string, s long, e long"), ["k"], "s", "e").count() == 0
